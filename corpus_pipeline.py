@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilekit.llm import common, packing, simhash, toxicity, weak_labels
+from profilekit.llm import chaining, common, packing, simhash, toxicity, weak_labels
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return chaining.remove_repeated(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +33,7 @@ STAGES = [
     ("quality classifier", quality_classifier),
     ("toxicity", toxicity_filter),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
     ("best-fit packing", best_fit_packing),
 ]
 #: The stages learn models and tokenise: no SQL gives their rows.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilekit.llm import bpe, cross_polytope, licenses, ngram_ratio, packing, simhash, toxicity, weak_labels
+from profilekit.llm import bpe, chaining, cross_polytope, exact_substrings, licenses, ngram_ratio, packing, simhash, toxicity, weak_labels
 from profilekit.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.op1(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_ratio.op2(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -38,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op6(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.op7(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(documents(spark, sf_dir))
 
