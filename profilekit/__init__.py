@@ -1,0 +1,3 @@
+"""A data-profiling engine on Spark DataFrames."""
+
+__version__ = "0.1.0"
