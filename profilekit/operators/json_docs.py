@@ -75,18 +75,27 @@ def key_types(docs: DataFrame) -> DataFrame:
     return keyed.join(total, "path").select("path", "key", "present_in", (F.col("present_in") / F.col("objects")).alias("presence_ratio"), "types")
 
 
-def _named(members: DataFrame, frontier: DataFrame, max_keys: int) -> DataFrame:
-    """Members with ``step``, the segment of the path that leads to them."""
+def _listed_keys(members: DataFrame, frontier: DataFrame, max_keys: int) -> DataFrame:
+    """(path, at, key) of the keys that keep their names: at most ``max_keys`` an object path.
+
+    Collected and given back as a local frame, so that each level's plan is one step longer than the last one's instead
+    of several times as large.
+    """
     by = ["path", "at"]
     objects = frontier.where("type = 'object'").groupBy(*by).agg(F.count_distinct("doc").alias("documents"))
     keys = members.where("key is not null").groupBy(*by, "key").agg(F.count_distinct("doc").alias("docs"))
     least = F.greatest(F.lit(LEAST_DOCUMENTS), LEAST_SHARE * F.col("documents"))
     judged = keys.join(objects, by).withColumn("rare", F.col("docs") < least)
-    policy = judged.groupBy(*by).agg((F.max((~F.col("key").rlike(KEY_NAME)).cast("int")) > 0).alias("odd"), (F.count(F.lit(1)) > max_keys).alias("many"), (F.count_if("rare") == F.count(F.lit(1))).alias("all_rare"))
-    merged = F.col("odd") | F.col("many") | F.col("all_rare")
-    # what is left by name is at most max_keys keys an object path
-    listed = judged.where("not rare").join(policy.where(~merged), by).select(*by, "key", F.lit(True).alias("listed"))
-    out = members.join(listed, [*by, "key"], "left")
+    kept = F.when(~F.col("rare") & F.col("key").rlike(KEY_NAME), F.col("key"))
+    few = judged.groupBy(*by).agg(F.max((~F.col("key").rlike(KEY_NAME)).cast("int")).alias("odd"), F.count(F.lit(1)).alias("n"), F.collect_set(kept).alias("keys"))
+    rows = few.where((F.col("odd") == 0) & (F.col("n") <= max_keys)).select(*by, F.explode("keys").alias("key")).collect()
+    return members.sparkSession.createDataFrame(rows, "path string, at string, key string")
+
+
+def _named(members: DataFrame, frontier: DataFrame, max_keys: int) -> DataFrame:
+    """Members with ``step``, the segment of the path that leads to them."""
+    listed = _listed_keys(members, frontier, max_keys).withColumn("listed", F.lit(True))
+    out = members.join(F.broadcast(listed), ["path", "at", "key"], "left")  # at most max_keys rows an object path
     name = F.when(F.col("key").rlike(PLAIN_NAME), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit('["'), F.col("key"), F.lit('"]')))
     return out.withColumn("step", F.when(F.col("key").isNull(), "[*]").when(F.col("listed"), name).otherwise(".*"))
 
@@ -109,8 +118,9 @@ def catalogue(docs: DataFrame, max_depth: int = 3, max_keys: int = 50) -> DataFr
     assert out is not None
     seen = F.array(*[F.struct(F.col(f"n_{t}").alias("n"), F.lit(t).alias("t")) for t in TYPES if t != "null"])
     listed = out.join(total, "path").withColumn("best", F.array_max(seen))
-    parents = listed.where(F.col("at").endswith(".*")).select("path", F.expr("substring(at, 1, length(at) - 2)").alias("at")).distinct().withColumn("map_like", F.lit(True))
-    return listed.join(parents, ["path", "at"], "left").select(
+    merged = F.when(F.col("at").endswith(".*"), F.expr("substring(at, 1, length(at) - 2)"))
+    likes = F.collect_set(merged).over(Window.partitionBy("path"))  # over paths, not documents
+    return listed.withColumn("map_like", F.array_contains(likes, F.col("at"))).select(
         "path", F.col("at").alias("json_path"), "depth", "documents", "present_in", (F.col("present_in") / F.col("documents")).alias("presence_ratio"), "occurrences", *[f"n_{t}" for t in TYPES],
         (sum(((F.col(f"n_{t}") > 0).cast("int") for t in TYPES if t != "null"), F.lit(0)) > 1).alias("heterogeneous"),
         F.when(F.col("best.n") > 0, F.col("best.t")).alias("dominant_type"), F.coalesce("map_like", F.lit(False)).alias("map_like"),
