@@ -23,7 +23,14 @@ from profilekit.sources import sink
 from profilekit.sources.tables import recorded_rows
 
 REFERENCE = dt.datetime(2025, 1, 1, tzinfo=dt.UTC)
-SCHEMA = T._parse_datatype_string("id bigint, s struct<a: string, t: struct<x: int>>, l array<struct<q: int, m: map<string, int>>>, m map<string, double>, `a.b` string, n timestamp_ntz, d decimal(10,0)")
+STRING, INT, LONG = T.StringType(), T.IntegerType(), T.LongType()
+
+
+def struct(**fields):
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+SCHEMA = struct(id=LONG, s=struct(a=STRING, t=struct(x=INT)), l=T.ArrayType(struct(q=INT, m=T.MapType(STRING, INT))), m=T.MapType(STRING, T.DoubleType()), **{"a.b": STRING}, n=T.TimestampNTZType(), d=T.DecimalType(10, 0))
 
 
 @pytest.mark.parametrize("text, parts", [("a.b.c", ["a", "b", "c"]), ("`x y`.t1", ["x y", "t1"]), (" `a``b` ", ["a`b"]), ("9t", ["9t"])])
@@ -118,9 +125,9 @@ def test_key_plans():
 
 
 def test_types_that_compare():
-    ok = lambda a, b: referential.compatible(T._parse_datatype_string(a), T._parse_datatype_string(b))[0]
-    assert ok("int", "bigint") and ok("int", "decimal(5,2)") and ok("date", "date")
-    assert not ok("int", "string") and not ok("double", "int") and not ok("timestamp", "timestamp_ntz") and not ok("array<int>", "array<int>")
+    ok = lambda a, b: referential.compatible(a, b)[0]
+    assert ok(INT, LONG) and ok(INT, T.DecimalType(5, 2)) and ok(T.DateType(), T.DateType())
+    assert not ok(INT, STRING) and not ok(T.DoubleType(), INT) and not ok(T.TimestampType(), T.TimestampNTZType()) and not ok(T.ArrayType(INT), T.ArrayType(INT))
 
 
 def test_constraints_from_rows_in_any_order_and_case():
