@@ -24,32 +24,43 @@ from profilekit.llm import textstats
 from profilekit.llm.common import id_and_text, materialize, pieces, texts_as_bytes
 
 BUCKETS, SMOOTH, GRID, CARE = 1 << 16, 0.5, 4096, 4.0
+#: Slots of the table that tells which texts may be trusted: its broadcast has this bound at any size.
+SIEVE = 1 << 20
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h >> np.uint64(48), (textstats.rolling(h, 2) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)]).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every cell over all documents, and over those whose doc_id is in ``trusted``."""
+def _counted(texts: DataFrame) -> np.ndarray:
+    """Counts of every cell over the texts, combined in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in pieces(batches):
-            for text, good in zip(texts_as_bytes(batch), batch.column("good").to_pylist(), strict=True):
-                cells = np.bincount(_cells(textstats.word_hashes((text or b"").split())), minlength=BUCKETS)
-                counts[0] += cells
-                if good:
-                    counts[1] += cells
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["cell", "raw", "good"])
-
-    marked = id_and_text(docs).join(trusted.select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select("text", "good")
-    parts = marked.mapInArrow(run, "cell int, raw long, good long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
-    out = np.zeros((2, BUCKETS), np.int64)  # at most BUCKETS rows
-    out[0, parts["cell"].to_numpy()] = parts["raw"].to_numpy()
-    out[1, parts["cell"].to_numpy()] = parts["good"].to_numpy()
-    return out[0], out[1]
+            for text in texts_as_bytes(batch):
+                counts += np.bincount(_cells(textstats.word_hashes((text or b"").split())), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+
+    parts = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)  # at most BUCKETS rows
+    out[parts["cell"].to_numpy()] = parts["n"].to_numpy()
+    return out
+
+
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``trusted``. Texts of others are sorted out where they lie, by a table of at most
+    ``SIEVE`` hash values, before the rest are shuffled for an exact semi-join."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    slots = trusted.select(slot.alias("slot")).distinct()
+    near = id_and_text(docs).withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")  # at most SIEVE longs
+    return near.select("doc_id", "text").join(trusted.select("doc_id").hint("merge"), "doc_id", "left_semi")
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of every cell over all documents, and over those whose doc_id is in ``trusted``."""
+    return _counted(id_and_text(docs)), _counted(trusted_texts(docs, trusted))
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
