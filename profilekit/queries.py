@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilekit import identifiers as ids
-from profilekit.config import defaults, merge
+from profilekit import runner
+from profilekit.config import defaults, merge, validated
+from profilekit.contract.invariants import profile_errors
 from profilekit.functions import access
 from profilekit.operators import aggregate, distinct, judge, json_docs, keys, referential, semantics
 from profilekit.plans.measure import plan_measures
 from profilekit.plans.tree import Node, Tree, schema_tree, select
+from profilekit.sources import constraints
 from profilekit.sources.tables import at_path
+from profilekit.streaming import profile as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -775,6 +779,55 @@ def judge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat_ws(".", "table", "path").alias("field"), "rule_type")
 
 
+# sources, runs and streams
+
+_CONSTRAINTS = "VALUES ('c', 's', 'pk_orders', 'PRIMARY KEY', 's', 'orders'), ('c', 's', 'fk_customer', 'FOREIGN KEY', 'S', 'Orders'), ('c', 's', 'uq_other', 'UNIQUE', 's', 'customer')"
+_USAGE = "VALUES ('c', 's', 'pk_orders', 'o_orderkey', 1, CAST(NULL AS INT)), ('c', 's', 'fk_customer', 'o_custkey', 1, 1), ('c', 's', 'uq_other', 'c_name', 1, CAST(NULL AS INT))"
+_REFERENCES = "VALUES ('c', 's', 'fk_customer', 'c', 's', 'pk_customer')"
+_KEYS3 = "constraint_catalog, constraint_schema, constraint_name"
+_NAMED = {"constraints": (_CONSTRAINTS, f"{_KEYS3}, constraint_type, table_schema, table_name"), "usage": (_USAGE, f"{_KEYS3}, column_name, ordinal_position, position_in_unique_constraint"), "refs": (_REFERENCES, f"{_KEYS3}, unique_constraint_catalog, unique_constraint_schema, unique_constraint_name")}
+
+
+def _view(name: str) -> str:
+    rows, columns = _NAMED[name]
+    return f"SELECT * FROM ({rows}) AS v({columns})"
+
+
+@query(
+    f"WITH t AS ({_view('constraints')}), u AS ({_view('usage')}), r AS ({_view('refs')}) SELECT t.constraint_name, t.constraint_type, u.column_name, CAST(u.ordinal_position AS BIGINT) AS ordinal_position, r.unique_constraint_name FROM t JOIN u ON t.constraint_name = u.constraint_name"
+    " LEFT JOIN r ON r.constraint_name = t.constraint_name WHERE lower(t.table_schema) = 's' AND lower(t.table_name) = 'orders'"
+)
+def src_key_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table's declared keys from three information_schema views."""
+    out = constraints.key_rows(*[spark.sql(_view(n)) for n in ("constraints", "usage", "refs")], "s", "orders")
+    return out.select("constraint_name", "constraint_type", "column_name", F.col("ordinal_position").cast("long").alias("ordinal_position"), "unique_constraint_name")
+
+
+_RUN = {"orders": "o_totalprice > 100000", "customer": "true", "events": "true"}
+
+
+@query("\nUNION ALL ".join(f"SELECT '{t}' AS table_name, 'succeeded' AS status, CAST(count(*) AS BIGINT) AS row_count, CAST({len(_COLUMNS[t].split())} AS BIGINT) AS fields_profiled, '{'filtered_table' if w != 'true' else 'full_table'}' AS scope FROM {t} WHERE {w}" for t, w in _RUN.items()))
+def run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole standard run, from configuration to a valid document; its tables as rows."""
+    config = validated({"kind": "profilekit.config", "config_version": "1.0", "tables": list(_RUN), "table_options": {"orders": {"filters": [{"column": "o_totalprice", "operator": "gt", "value": 100000}]}}})
+    doc = runner.profile(spark, config, lambda name: at_path(spark, f"{sf_dir}/{name}.parquet"), reference=REFERENCE)
+    if errors := profile_errors(doc):
+        raise ValueError(errors)
+    count = lambda t: next(m["value"] for m in t["table_metrics"] if m["name"] == "row_count")
+    return _local(spark, [(t["table_key"], t["status"], count(t), t["summary"]["fields_profiled"], t["scope"]["scope_label"]) for t in doc["tables"]], "table_name string, status string, row_count long, fields_profiled long, scope string")
+
+
+_STREAMED = {"null_count": "count(*) FILTER (WHERE {} IS NULL)", "min": "min({})", "max": "max({})", "mean": "round(avg({}), 6)", "negative_count": "count(*) FILTER (WHERE {} < 0)"}
+
+
+@query("WITH d AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, value, user_id FROM events) " + "\nUNION ALL ".join(f"SELECT window_start, '{f}' AS field, '{m}' AS metric, CAST({e.format(f)} AS DOUBLE) AS value FROM d GROUP BY window_start" for f in ("value", "user_id") for m, e in _STREAMED.items()) + " UNION ALL SELECT window_start, '', 'row_count', CAST(count(*) AS DOUBLE) FROM d GROUP BY window_start")
+def stream_windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming operator on a batch: metrics by event-time window."""
+    out = stream.windowed_metrics(table(spark, sf_dir, "events"), "ts", "1 hour", columns=("value", "user_id"), metrics=tuple(_STREAMED))
+    number = F.when(F.col("metric") == "mean", F.round("number", 6)).otherwise(F.col("number"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col("path").alias("field"), "metric", number.alias("value"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard-level long metrics of lineitem."""
     df = table(spark, sf_dir, "lineitem")
