@@ -2,12 +2,15 @@
 
 Seeds are runs of ``WORDS`` words, thinned to the smallest hash of every ``THIN`` neighbours, so that any run of
 ``WORDS + THIN - 1`` equal words holds a shared one. Each seed is linked to its first place in the corpus alone (first in
-its task, and from there first of all), so links grow with seeds, not with their pairs. Links from one document to one
-earlier document are chained: both positions rise, a link gains ``WORDS``, gaps cost ``GAP`` a word on either side, and
+its task, and from there first of all), so links grow with seeds, not with their pairs. Since the first places of
+neighbouring seeds may lie in different documents, runs of ``LONG`` words are seeds too, thinned so that any
+``LONG + THIN_LONG - 1`` = ``PASSAGE + 1`` equal words hold one: it leads to a document that has the whole run, and counts as a link
+at either end. Links from one document to one earlier document are chained: both positions rise, a link gains ``WORDS``, gaps cost ``GAP`` a word on either side, and
 the best predecessor comes from a Fenwick tree of prefix maxima. Chains of at least ``LEAST_SPAN`` words are aligned
 on the words themselves: between links word by word or, where lengths differ, by longest common subsequence, and past
-the ends while matches outweigh mismatches. A passage of at least ``PASSAGE`` words of which at least ``SIMILAR`` are
-matched is a repetition; it goes from the later document and stays in the earliest.
+the ends while matches outweigh mismatches. What is aligned with any earlier documents is put together: a passage of at
+least ``PASSAGE`` words of which at least ``SIMILAR`` are matched is a repetition; it goes from the later document and
+stays in the earlier ones.
 
 Words are compared in lower case (A-Z). Order is by doc_id. Defined cases: null and empty texts have no passages; rows
 without doc_id cause and lose nothing; rows that repeat a doc_id are read as one document and are not compared with
@@ -29,17 +32,19 @@ from profilekit.llm.common import id_and_text, materialize, mix64, pieces, texts
 from profilekit.llm.exact_substrings import buckets_for, keep_mask
 
 WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 12, 0.1, 20, 50, 0.8, 48, 8
+LONG, THIN_LONG, SEAM = 32, 20, 4
 _FLUSH = 12 << 20
 _SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+#: The last bit of a seed's hash says whether it is long.
+_EVEN = ~np.uint64(1)
 _LINK = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("to", "<i8"), ("at", "<i4")])
 
 
-def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and word positions of the thinned runs of words."""
-    grams = textstats.rolling(textstats.word_hashes(text.lower().split()), WORDS)
+def _thinned(grams: np.ndarray, width: int) -> np.ndarray:
+    """Places of the smallest hash of every ``width`` neighbours."""
     if not len(grams):
-        return grams, np.zeros(0, np.int32)
-    m, span, width = grams, 1, min(THIN, len(grams))
+        return np.zeros(0, np.int64)
+    m, span, width = grams, 1, min(width, len(grams))
     while 2 * span <= width:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
@@ -48,8 +53,41 @@ def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     chosen = np.zeros(len(grams), bool)
     for k in range(width):
         chosen[k : k + len(m)] |= grams[k : k + len(m)] == m
-    at = np.flatnonzero(chosen)
-    return grams[at], at.astype(np.int32)
+    return np.flatnonzero(chosen)
+
+
+def _long_grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``LONG`` words: eight at a time, then four of those."""
+    eight = textstats.rolling(h, 8)
+    n = len(h) - LONG + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, LONG, 8):
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + eight[k : k + n])
+    return out
+
+
+def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and word positions of the thinned runs of words, short and long.
+
+    A short run that occurs again in the text is one more seed with its number, so that in periodic text the n-th
+    meets the n-th and links rise.
+    """
+    h = textstats.word_hashes(text.lower().split())
+    short, long = textstats.rolling(h, WORDS), _long_grams(h)
+    at, far = _thinned(short, THIN), _thinned(long, THIN_LONG)
+    near = short[at]
+    order = np.argsort(near, kind="stable")
+    ranked = near[order]
+    fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(at) else at
+    nth = np.zeros(len(at), np.uint64)
+    nth[order] = np.arange(len(at)) - np.repeat(fresh, np.diff(np.append(fresh, len(at))))
+    again = nth > 0
+    with np.errstate(over="ignore"):
+        numbered = mix64(near[again] + nth[again] * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([near & _EVEN, numbered & _EVEN, long[far] | np.uint64(1)]), np.concatenate([at, at[again], far]).astype(np.int32)
 
 
 def _first_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +98,10 @@ def _first_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later = rows["doc"] != owner["doc"]
     links = np.zeros(int(later.sum()), _LINK)
     links["doc"], links["pos"], links["to"], links["at"] = rows["doc"][later], rows["pos"][later], owner["doc"][later], owner["pos"][later]
-    return rows[head], links
+    ends = links[(rows["h"][later] & np.uint64(1)).astype(bool)]
+    ends["pos"] += LONG - WORDS
+    ends["at"] += LONG - WORDS
+    return rows[head], np.concatenate([links, ends])
 
 
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
@@ -239,8 +280,11 @@ def _extend(a: np.ndarray, b: np.ndarray) -> int:
     return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
 
 
-def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low: int) -> tuple[int, int] | None:
-    """First and end word of the passage in ``own``, or None; ``other`` starts at word ``low`` of its document."""
+def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low: int) -> tuple[int, int, np.ndarray] | None:
+    """First and end word in ``own`` of what goes along with ``other``, and which words match; None where too little does.
+
+    ``other`` starts at word ``low`` of its document.
+    """
     at = [x - low for x in at]
     matched = np.zeros(len(own), bool)
     i, j = pos[0], at[0]
@@ -257,8 +301,8 @@ def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low
     ahead = _extend(own[end:], other[last:])
     matched[end : end + ahead] = own[end : end + ahead] == other[last : last + ahead]
     first, end = first - back, end + ahead
-    good = int(matched[first:end].sum())
-    return (first, end) if end - first >= PASSAGE and good >= SIMILAR * (end - first) else None
+    hits = matched[first:end]
+    return (first, end, hits) if end - first >= LEAST_SPAN and hits.sum() >= SIMILAR * (end - first) else None
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -268,19 +312,39 @@ def _found(docs: DataFrame) -> DataFrame:
     return _with_slices(chains, docs).groupBy("doc_id").agg(F.collect_list(F.struct("to_id", "low", "words", "pos", "at")).alias("chains"))
 
 
-def passages(text: bytes, chains: list[dict] | None) -> list[tuple[int, int, int]]:
-    """(first byte, end byte, source doc_id) of the repeated passages of one text; they may overlap."""
+def joined(n: int, spans: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Word ranges of a text of ``n`` words that are passages by what all ``spans`` match together."""
+    matched, inside = np.zeros(n, bool), np.zeros(n + 2, np.int8)
+    for first, end, hits in spans:
+        matched[first:end] |= hits
+        inside[first + 1 : end + 1] = 1
+    edge = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+    out: list[list[int]] = []
+    for first, end in edge.tolist():
+        if out and first - out[-1][1] <= SEAM:
+            out[-1][1] = end
+        else:
+            out.append([first, end])
+    return [(a, b) for a, b in out if b - a >= PASSAGE and matched[a:b].sum() >= SIMILAR * (b - a)]
+
+
+def passages(text: bytes, chains: list[dict] | None) -> list[tuple[int, int, list[int]]]:
+    """(first byte, end byte, source doc_ids) of the repeated passages of one text; none overlap."""
     if not chains:
         return []
-    own, out = _word_hash32(text), []
-    inside = ~np.isin(np.frombuffer(text, np.uint8), [0x20, *range(0x09, 0x0E)])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2)
+    own = _word_hash32(text)
+    found = []
     for c in sorted(chains, key=lambda c: (c["to_id"], c["pos"][0])):
         if c["pos"][-1] + WORDS <= len(own):
             span = align(own, np.frombuffer(c["words"], np.uint32), list(c["pos"]), list(c["at"]), c["low"])
             if span:
-                out.append((int(edge[span[0], 0]), int(edge[span[1] - 1, 1]), int(c["to_id"])))
-    return out
+                found.append((span, int(c["to_id"])))
+    runs = joined(len(own), [span for span, _ in found])
+    if not runs:
+        return []
+    inside = ~np.isin(np.frombuffer(text, np.uint8), [0x20, *range(0x09, 0x0E)])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2)
+    return [(int(edge[a, 0]), int(edge[b - 1, 1]), sorted({to for (first, end, _), to in found if first < b and a < end})) for a, b in runs]
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -296,7 +360,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 runs = np.flatnonzero(np.diff(np.concatenate([[0], (~keep).astype(np.int8), [0]]))).reshape(-1, 2)
                 total = len(text.split())
                 removed = sum(len(text[a:b].split()) for a, b in runs.tolist())
-                rows.append((total, removed, len(runs), sorted({s for *_, s in spans}), [{"first": a, "end": b} for a, b in runs.tolist()]))
+                rows.append((total, removed, len(runs), sorted({x for *_, some in spans for x in some}), [{"first": a, "end": b} for a, b in runs.tolist()]))
             n, gone, count, sources, where = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sources, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
