@@ -71,11 +71,12 @@ def detectors(c: Column) -> dict[str, Column]:
     }
 
 
-def wilson(successes: Column, trials: Column, level: float) -> tuple[Column, Column]:
-    """Wilson's score interval of a share; NULL without trials."""
+def wilson(successes: str, trials: str, level: float) -> tuple[str, str]:
+    """Wilson's score interval of a share, as SQL over two columns; NULL without trials."""
     z = NormalDist().inv_cdf(0.5 + level / 2)
-    n = F.when(trials > 0, trials.cast("double"))
-    p = successes / n
-    middle = (p + z * z / (2 * n)) / (1 + z * z / n)
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    n = f"CAST({trials} AS DOUBLE)"
+    p = f"({successes} / {n})"
+    below = f"(1 + {z * z!r}D / {n})"
+    middle = f"({p} + {z * z / 2!r}D / {n}) / {below}"
+    half = f"{z!r}D * sqrt({p} * (1 - {p}) / {n} + {z * z / 4!r}D / ({n} * {n})) / {below}"
+    return tuple(f"CASE WHEN {trials} > 0 THEN {edge} END" for edge in (f"greatest(0D, {middle} - {half})", f"least(1D, {middle} + {half})"))

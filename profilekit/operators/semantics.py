@@ -70,17 +70,15 @@ def formats(counted: DataFrame, semantic: Mapping[str, Any]) -> DataFrame:
 
     Blank values do not count. Several strong candidates are ambiguous, none but a partial one is mixed.
     """
-    low, high = detect.wilson(F.col("matches"), F.col("eligible"), semantic["confidence_level"])
     eligible = F.col("eligible")
 
-    def candidate(k: int, name: str) -> Column:
-        matches = F.col(f"m_{name}")
-        low, high = detect.wilson(matches, eligible, semantic["confidence_level"])
-        offset = F.when(F.lit(name == "iso_timestamp"), F.col("with_offset"))
-        return F.struct((-matches).alias("o"), F.lit(k).alias("k"), F.lit(name).alias("format"), matches.alias("matches"), (matches / F.nullif(eligible, F.lit(0))).alias("match_ratio"), low.alias("low"), high.alias("high"), offset.alias("with_offset"))
+    def candidate(k: int, name: str) -> str:
+        low, high = detect.wilson(f"m_{name}", "eligible", semantic["confidence_level"])
+        offset = "with_offset" if name == "iso_timestamp" else "CAST(NULL AS BIGINT)"
+        return f"named_struct('o', -m_{name}, 'k', {k}, 'format', '{name}', 'matches', m_{name}, 'match_ratio', try_divide(m_{name}, eligible), 'low', {low}, 'high', {high}, 'with_offset', {offset})"
 
-    every = F.array(*[candidate(k, name) for k, name in enumerate(detect.FORMATS)])
-    listed = F.transform(F.array_sort(F.filter(every, lambda x: x["matches"] > 0)), lambda x: x.dropFields("o", "k"))
+    every = ", ".join(candidate(k, name) for k, name in enumerate(detect.FORMATS))
+    listed = F.transform(F.array_sort(F.filter(F.expr(f"array({every})"), lambda x: x["matches"] > 0)), lambda x: x.dropFields("o", "k"))
     out = counted.withColumn("candidates", listed).withColumn("strong", F.filter("candidates", lambda x: x["match_ratio"] >= semantic["detect_threshold"]))
     strong, best = F.size("strong"), F.get("candidates", F.lit(0))["match_ratio"]
     status = (
