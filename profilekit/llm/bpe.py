@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from profilekit.llm.common import id_and_text, pieces
+from profilekit.llm.common import hold, id_and_text, pieces
 
 LOOKAHEAD = 192
 MAX_STATES, MAX_CACHED = 150_000, 400_000
@@ -264,6 +264,7 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec a process, so that its tables serve all tasks of a worker."""
+    hold("bpe", _CODECS.clear)
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.llm import textstats
-from profilekit.llm.common import id_and_text, materialize, mix64, pieces, texts_as_bytes
+from profilekit.llm.common import hold, id_and_text, materialize, mix64, pieces, texts_as_bytes
 from profilekit.llm.exact_substrings import buckets_for, keep_mask
 
 WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 12, 0.1, 20, 50, 0.8, 48, 8
@@ -118,6 +118,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(seed + [None] * len(b), pa.binary()), pa.array([None] * len(a) + link, pa.binary())], ["bucket", "seeds", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("chaining")
         held, total = [], 0
         for batch in pieces(batches, 256):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch), strict=True):

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,19 @@ SUB_BATCH = 1024
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, release: Callable[[], object] = lambda: None) -> None:
+    """Called where an operator starts in a Python worker: tables that other operators keep there are released.
+
+    Workers serve all stages of a pipeline in turn; without this they would gather the tables of each.
+    """
+    for other in [x for x in _HELD if x != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = release
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import id_and_text, materialize, pieces
+from profilekit.llm.common import hold, id_and_text, materialize, pieces
 
 CAPACITY, END, GROUPS, SMALL, SALTS = 2048, 0, 24, 8, 64
 MAX_CACHED, _LONG = 600_000, 48
@@ -66,6 +66,7 @@ _LOADED: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
+    hold("packing", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordTokens(path)
     return _LOADED[path]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.llm import textstats
-from profilekit.llm.common import id_and_text, materialize, pieces, texts_as_bytes
+from profilekit.llm.common import hold, id_and_text, materialize, pieces, texts_as_bytes
 
 #: The last ``FAVOURABLE`` speak for a document, the others against it; each may keep silent.
 LABELLERS = ("symbols", "symbols_per_word", "repetition", "same_word", "capitals", "exclamations", "fields", "lines", "sentences", "casing")
@@ -77,6 +77,7 @@ def describe(text: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray]:
 
 def described(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("weak_labels", _SHAPES.clear)
         for batch in pieces(batches):
             n, pattern, cells, values = zip(*map(describe, texts_as_bytes(batch)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(pattern, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "n_words", "pattern", "cells", "vals"])
@@ -164,6 +165,7 @@ def keep_accepted(docs: DataFrame) -> DataFrame:
     model = fit(materialize(described(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("weak_labels", _SHAPES.clear)
         for batch in pieces(batches):
             marks = [model.accepts(n, cells, values) for n, _, cells, values in map(describe, texts_as_bytes(batch))]
             yield batch.filter(pa.array(marks, pa.bool_()))
