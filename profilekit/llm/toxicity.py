@@ -2,8 +2,9 @@
 
 Labels are of documents, so tokens are labelled first: a word that is found in a far larger share of toxic training
 documents than of others (a z-score over ``Z``) is a toxic token where it stands in a toxic one, every other token is
-clean. A two-tag field over word identities (with their neighbours' as context) is fitted to segments of these
-texts. In use, forward-backward gives each word its marginal of being toxic; a document's score is a logistic function,
+clean. Words that go on from a telling beginning of ``STEMS`` letters count as one word, that beginning: lexicons inflect, and each
+form alone is rare. A two-tag field over word identities (with their neighbours' as context) is fitted to segments of
+these texts. In use, forward-backward gives each word its marginal of being toxic; a document's score is a logistic function,
 fitted to the training documents, of the largest marginal, of the probability that any word is toxic, and of the
 number expected. Spans are runs of words whose marginal is at least one half.
 
@@ -19,31 +20,40 @@ null ids are scored, not trained on, and not held out; an empty table gives an e
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import crc_mod, id_and_text, materialize, pieces
+from profilekit.llm.common import crc_mod, hold, id_and_text, materialize, pieces
 
 FOLDS, PER_CLASS, MAX_TRAIN_BYTES, MAX_WORDS = 5, 3000, 48 << 20, 20_000
 Z, SEGMENT, STEPS = 5.5, 48, 150
+STEMS = range(3, 9)
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_~`“”‘’«»…"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words worked on at once by the chains.
-_TOKENS = 1 << 19
+#: Words worked on at once by the chains, and different words that a task remembers.
+_TOKENS, MAX_KNOWN = 1 << 18, 100_000
 
 
 class _Bare(dict):
-    def __init__(self, index: dict[str, int]):
-        super().__init__(index)
-        self.index = index
+    """Number of a word as it stands in a text: its stem's, or its own; 0 if unknown."""
+
+    def __init__(self, index: dict[str, int], stems: dict[str, float]):
+        super().__init__()
+        self.index, self.stems = index, stems
 
     def __missing__(self, raw: str) -> int:
-        return self.index.get(raw.strip(_STRIP).lower(), 0)
+        found = self[raw] = self.index.get(canonical(raw.strip(_STRIP).lower(), self.stems), 0)
+        return found
+
+
+def canonical(word: str, stems: dict[str, float]) -> str:
+    """The most telling (longest) stem that ``word`` goes on from, marked by a plus sign; else the word."""
+    best = max((s for k in STEMS if len(word) > k and (s := word[:k]) in stems), key=lambda s: (stems[s], len(s)), default=None)
+    return word if best is None else best + "+"
 
 
 def _words(text: str) -> list[str]:
@@ -91,8 +101,8 @@ def chains(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.
 
 
 class Field:
-    def __init__(self, words: list[str]):
-        self.index = {w: k + 1 for k, w in enumerate(words)}
+    def __init__(self, words: list[str], stems: dict[str, float] | None = None):
+        self.index, self.stems = {w: k + 1 for k, w in enumerate(words)}, stems or {}
         size = len(words) + 1
         self.own, self.near = np.zeros(size), np.zeros(size)
         self.bias, self.trans, self.start = -4.0, np.zeros((2, 2)), np.zeros(2)
@@ -133,24 +143,40 @@ class Field:
             p = p + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         self.own, self.near, self.bias, self.trans = p[:size].copy(), p[size : 2 * size].copy(), float(p[2 * size]), p[2 * size + 1 :].reshape(2, 2).copy()
 
-    def marginals(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the text, marginals of its words), in order; texts of one call go together up to a bound."""
-        bare = _Bare(self.index)
+    def marginals(self, texts: Iterable[str | None], known: _Bare | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, marginals of its words), in order; ``known`` remembers words from call to call."""
+        bare = _Bare(self.index, self.stems) if known is None else known
+
+        def numbers(text: str | None) -> np.ndarray:
+            words = _words(text or "")
+            if len(bare) > MAX_KNOWN:
+                bare.clear()
+            return np.fromiter(map(bare.__getitem__, words), np.int64, len(words))
+
+        return self.marginals_of(map(numbers, texts))
+
+    def marginals_of(self, cases: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """The same of numbered words; texts go together up to ``_TOKENS`` words."""
         held: list[np.ndarray] = []
         done = total = 0
-        for k, text in enumerate(texts):
-            words = _words(text or "")
-            held.append(np.fromiter(map(bare.__getitem__, words), np.int64, len(words)))
-            total += len(words)
-            if total >= _TOKENS or k + 1 == len(texts):
-                lengths = np.array([len(x) for x in held])
-                some = lengths > 0
-                ids = np.concatenate(held)
-                flat = chains(self.unary(ids, lengths[some]), lengths[some], self.trans, self.start)[0] if len(ids) else np.zeros(0)
-                at = np.cumsum(lengths) - lengths
-                for x, (i, n) in enumerate(zip(at, lengths, strict=True)):
-                    yield done + x, flat[i : i + n]
-                done, held, total = k + 1, [], 0
+
+        def work() -> Iterator[tuple[int, np.ndarray]]:
+            lengths = np.array([len(x) for x in held])
+            ids = np.concatenate(held)
+            some = lengths[lengths > 0]
+            flat = chains(self.unary(ids, some), some, self.trans, self.start)[0] if len(ids) else np.zeros(0)
+            at = np.cumsum(lengths) - lengths
+            for x, (i, n) in enumerate(zip(at, lengths, strict=True)):
+                yield done + x, flat[i : i + n]
+
+        for ids in cases:
+            held.append(ids)
+            total += len(ids)
+            if total >= _TOKENS:
+                yield from work()
+                done, held, total = done + len(held), [], 0
+        if held:
+            yield from work()
 
     @staticmethod
     def summary(marginal: np.ndarray) -> tuple[float, float, float]:
@@ -172,36 +198,75 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Field:
-    cases = [[w.strip(_STRIP).lower() for w in _words(t)] for t in texts]
-    found = [Counter(w for words, y in zip(cases, toxic, strict=True) if y == k for w in set(words)) for k in (0, 1)]
-    n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    frequent = [w for w, c in (found[0] + found[1]).most_common(MAX_WORDS) if c >= 3]
-    field = Field(frequent)
-    if min((toxic == 0).sum(), (toxic == 1).sum()) == 0:
+def _telling(found: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """z-scores of document frequencies [label, word] between the labels; 0 where the toxic share is not three times as large."""
+    share = found / np.maximum(n, 1)[:, None]
+    pooled = found.sum(0) / max(1, n.sum())
+    z = (share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, n[0]) + 1 / max(1, n[1])) + 1e-12)
+    return np.where(share[1] > 3 * share[0], z, 0)
+
+
+def train(texts: Iterable[str], toxic: np.ndarray) -> Field:
+    """Texts are taken one by one and kept as numbers of words."""
+    number: dict[str, int] = {}
+    bare: dict[str, int] = {}
+    cases: list[np.ndarray] = []
+    for text in texts:
+        words = _words(text)
+        for raw in words:
+            if raw not in bare:
+                bare[raw] = number.setdefault(raw.strip(_STRIP).lower(), len(number))
+        cases.append(np.fromiter(map(bare.__getitem__, words), np.int32, len(words)))
+    del bare
+    vocabulary, n = list(number), np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    if n.min() == 0:
+        field = Field([])
         field.doc = np.array([-60.0, 0, 0, 0])
         return field
-    pooled = {w: (found[0][w] + found[1][w]) / (n[0] + n[1]) for w in frequent}
-    signs = {w for w in frequent if (found[1][w] / n[1] - found[0][w] / n[0]) / np.sqrt(pooled[w] * (1 - pooled[w]) * (1 / n[0] + 1 / n[1]) + 1e-12) > Z and found[1][w] / n[1] > 3 * found[0][w] / n[0]}
-    ids, tags, lengths = [], [], []
-    for k, (words, y) in enumerate(zip(cases, toxic, strict=True)):
-        parts = range(0, len(words), SEGMENT)
-        chosen = [s for s in parts if not signs.isdisjoint(words[s : s + SEGMENT])]
+
+    def frequencies(ids: np.ndarray, size: int) -> np.ndarray:
+        """Documents of each label that hold each id; ``ids`` are by word number, negative ones do not count."""
+        out = np.zeros((2, size), np.int64)
+        for c, y in zip(cases, toxic, strict=True):
+            seen = np.unique(ids[c])
+            out[y, seen[seen >= 0]] += 1
+        return out
+
+    stems: dict[str, float] = {}
+    for k in STEMS:
+        begins: dict[str, int] = {}
+        ids = np.array([begins.setdefault(w[:k], len(begins)) if len(w) > k else -1 for w in vocabulary], np.int64)
+        z = _telling(frequencies(ids, len(begins)), n)
+        stems |= {s: float(z[i]) for s, i in begins.items() if z[i] > Z}
+    merged: dict[str, int] = {}
+    ids = np.array([merged.setdefault(canonical(w, stems), len(merged)) for w in vocabulary], np.int64)
+    found, names = frequencies(ids, len(merged)), list(merged)
+    total = found.sum(0)
+    frequent = [i for i in np.argsort(-total, kind="stable")[:MAX_WORDS].tolist() if total[i] >= 3]
+    field = Field([names[i] for i in frequent], stems)
+    sign = np.zeros(len(merged), bool)
+    sign[frequent] = _telling(found, n)[frequent] > Z
+    index = np.array([field.index.get(x, 0) for x in names], np.int64)[ids]  # by word number
+    sign = sign[ids]
+    parts_ids, parts_tags, lengths = [], [], []
+    for k, (c, y) in enumerate(zip(cases, toxic, strict=True)):
+        parts = range(0, len(c), SEGMENT)
+        chosen = [s for s in parts if sign[c[s : s + SEGMENT]].any()]
         if not chosen and len(parts):
             chosen = [parts[k % len(parts)]]
         for s in chosen:
-            part = words[s : s + SEGMENT]
-            ids += [field.index.get(w, 0) for w in part]
-            tags += [int(y and w in signs) for w in part]
+            part = c[s : s + SEGMENT]
+            parts_ids.append(index[part])
+            parts_tags.append((sign[part] & bool(y)).astype(np.int64))
             lengths.append(len(part))
     if lengths:
-        field.fit(np.array(ids), np.array(lengths), np.array(tags))
-    x = np.array([field.summary(m) for _, m in field.marginals(texts)])
+        field.fit(np.concatenate(parts_ids), np.array(lengths), np.concatenate(parts_tags))
+    x = np.array([field.summary(m) for _, m in field.marginals_of(index[c] for c in cases)])
     field.doc = _logistic(x, toxic.astype(float))
     return field
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Iterator[str], np.ndarray]:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     known = known.where(crc_mod(F.col("doc_id"), FOLDS) != 0)
     chosen = None
@@ -211,20 +276,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     few = chosen.collect()  # at most 2 * per_class ids and labels
     label = {r["doc_id"]: r["toxic"] for r in few}
     if not label:
-        return [], np.zeros(0, int)
-    ids = docs.sparkSession.createDataFrame([(k,) for k in label], "doc_id long")
-    rows = materialize(id_and_text(docs).where("text is not null").join(F.broadcast(ids), "doc_id").withColumn("bytes", F.octet_length("text")))
-    total, last, texts, out = 0, None, [], []
-    sizes = sorted((r["doc_id"], r["bytes"]) for r in rows.select("doc_id", "bytes").collect())
-    keep = set()
-    for k, size in sizes:
+        return iter(()), np.zeros(0, int)
+    spark = docs.sparkSession
+
+    def ids(some: Iterable[int]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(k,) for k in some], "doc_id long"))  # at most 2 * per_class
+
+    rows = materialize(id_and_text(docs).where("text is not null").join(ids(label), "doc_id").withColumn("bytes", F.octet_length("text")))
+    total, last, keep = 0, None, set()
+    for k, size in sorted((r["doc_id"], r["bytes"]) for r in rows.select("doc_id", "bytes").collect()):
         if k != last and total + size <= MAX_TRAIN_BYTES:
             total, last = total + size, k
             keep.add(k)
-    for r in sorted(rows.where(F.col("doc_id").isin(list(keep))).collect(), key=lambda r: (r["doc_id"], r["text"])) if keep else []:
-        texts.append(r["text"])
-        out.append(label[r["doc_id"]])
-    return texts, np.array(out, int)
+    table = rows.join(ids(keep), "doc_id").select("doc_id", "text").orderBy("doc_id", "text").toArrow() if keep else None
+    if table is None:
+        return iter(()), np.zeros(0, int)
+    texts = (t for batch in table.to_batches(max_chunksize=64) for t in batch.column("text").to_pylist())
+    return texts, np.array([label[k] for k in table.column("doc_id").to_pylist()], int)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
@@ -235,10 +303,12 @@ def scores(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score, spans (first and end character of each toxic run of words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
+        known = _Bare(field.index, field.stems)
         for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             values, spans = [], []
-            for k, marginal in field.marginals(texts):
+            for k, marginal in field.marginals(texts, known):
                 values.append(field.score(marginal))
                 hit = np.flatnonzero(np.diff(np.concatenate([[0], (marginal >= 0.5).astype(np.int8), [0]]))).reshape(-1, 2)
                 where = [m.span() for m in _WORD.finditer(texts[k])] if len(hit) else []
@@ -252,8 +322,10 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
     """The rows of ``docs`` with a score under one half, all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
+        known = _Bare(field.index, field.stems)
         for batch in pieces(batches):
-            values = [field.score(m) for _, m in field.marginals(batch.column("text").to_pylist())]
+            values = [field.score(m) for _, m in field.marginals(batch.column("text").to_pylist(), known)]
             yield batch.filter(pa.array([v < 0.5 for v in values], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
