@@ -4,7 +4,8 @@ Unigrams and bigrams of words are hashed to ``BUCKETS`` cells. Counts over every
 counts over every document labelled as good the trusted one, both smoothed. A document's score is the sum
 of log-ratios of its n-grams divided by their number. The threshold is fixed by all labelled documents that pass the
 base rules: the score, on a grid of ``GRID`` cells, under which the share of good ones lost plus the share of bad
-ones kept is least (the lowest such, and good ones weigh ``CARE`` times). Nothing is drawn at random.
+ones kept is least (good ones weigh ``CARE`` times; where a range of scores does equally well, as in the gap between both
+kinds, its middle, and the lowest such range). Nothing is drawn at random.
 
 Defined cases: null text has no words; a text without n-grams scores 0 (base rules reject it); without trusted
 documents all scores are 0 and the base rules decide; without bad labels every score passes; several labels of one
@@ -99,8 +100,12 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float:
     good, bad = np.zeros(GRID + 1), np.zeros(GRID + 1)  # at most GRID rows
     good[table["cell"].to_numpy() + 1], bad[table["cell"].to_numpy() + 1] = table["good"].to_numpy(), table["bad"].to_numpy()
     loss = CARE * np.cumsum(good) / good.sum() + 1 - np.cumsum(bad) / bad.sum()
-    at = int(np.argmin(loss))
-    return low + at * (high - low) / GRID if at else float("-inf")
+    first = int(np.argmin(loss))
+    if not first:
+        return float("-inf")
+    worse = np.flatnonzero(loss[first:] > loss[first] + 1e-12)
+    last = first + (int(worse[0]) if len(worse) else len(loss) - first) - 1
+    return low + (first + last) / 2 * (high - low) / GRID
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
