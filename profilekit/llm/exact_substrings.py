@@ -72,9 +72,10 @@ def seeds(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def _settle(rows: np.ndarray) -> np.ndarray:
-    """Sorted by anchor, piece and place, with all but the first of each piece marked."""
+    """Sorted by anchor, piece and place, with all but the first of each piece marked; a place that is read twice counts once."""
     rows = rows[np.lexsort((rows["start"], rows["doc"], rows["piece"], rows["h"]))]
     if len(rows) > 1:
+        rows = rows[np.concatenate([[True], rows[["h", "piece", "doc", "start"]][1:] != rows[["h", "piece", "doc", "start"]][:-1]])]
         same = (rows["h"][1:] == rows["h"][:-1]) & (rows["piece"][1:] == rows["piece"][:-1])
         rows["dup"][1:][same] = 1
     return rows
@@ -172,6 +173,8 @@ def covered(parts: list[bytes], docs: list[int], firsts: list[int]) -> list[tupl
         for a, b in hit.tolist():
             text, place = parts[k][a : b + WINDOW - 1], (docs[k], firsts[k] + a)
             other = kept.get(text)
+            if other == place:
+                continue
             if other is None or place < other:
                 kept[text], other = place, other
                 rows[text] = (k, a, b)
