@@ -1,4 +1,4 @@
-"""A run: tables one after another, then what holds between them, then the profile document.
+"""A run: tables, a few at a time, then what holds between them, then the profile document.
 
 Data are read by a bounded number of Spark actions a table: the sample, the aggregate passes, at most one pass for member
 distinct counts and one for keys (by default); a check of a relationship is one action. Everything later works on the
@@ -11,6 +11,7 @@ import datetime as dt
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -31,6 +32,8 @@ from profilekit.plans.tree import Node, Tree, schema_tree, select
 from profilekit.sources import constraints as declared_keys
 from profilekit.sources.tables import Source, again, capabilities, environment, json_method, open_table, recorded_rows
 
+#: Tables profiled side by side.
+AT_ONCE = 4
 Opener = Callable[[str], Source]
 Log = Callable[[str], None]
 
@@ -389,10 +392,15 @@ class Run:
         document.add_judgements(tables, found, rules, checks, asked, roles.collect(), {x.record["table_key"]: x.checks for x in tables})
 
     def profile(self, generation: Mapping[str, Any] | None = None, parameter_sources: Mapping[str, Any] | None = None) -> dict[str, Any]:
-        tables = []
-        for k, name in enumerate(self.config["tables"], 1):
-            self.log(f"({k}/{len(self.config['tables'])}) profiling {name}")
-            tables.append(self.table(name))
+        names = self.config["tables"]
+
+        def one(k: int) -> Profiled:
+            self.log(f"({k + 1}/{len(names)}) profiling {names[k]}")
+            return self.table(names[k])
+
+        # a table's stages wait for planning more than for data: some tables go side by side
+        with ThreadPoolExecutor(max(1, min(AT_ONCE, len(names)))) as pool:
+            tables = list(pool.map(one, range(len(names))))
         frames = [t.metrics for t in tables if t.metrics is not None]
         metrics = _frozen(reduce(DataFrame.unionByName, frames)) if frames else None
         facts = roles = None
