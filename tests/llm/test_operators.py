@@ -415,6 +415,43 @@ def test_near_copies_against_all_pairs(spark, corpus):
     assert near_copies.keep_one(empty(spark)).count() == 0
 
 
+def _pages(rng, n, apart, pairs, alike):
+    """Pages of one template, by words changed a page; the last ``2 * pairs`` are pairs with few words changed between them."""
+    template = words(rng, 400).split()
+
+    def changed(text, places):
+        out = list(text)
+        for k in places:
+            out[k] = f"new{rng.randrange(10**9)}"
+        return out
+
+    pages = [changed(template, rng.sample(range(0, 400, 5), apart)) for _ in range(n)]
+    for _ in range(pairs):
+        page = changed(template, rng.sample(range(0, 400, 5), apart))
+        pages += [page, changed(page, rng.sample(range(2, 400, 5), alike))]
+    return [" ".join(p) for p in pages]
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_near_copies_beyond_the_first_of_a_bucket(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rows = list(enumerate(_pages(random.Random(11), 100, 6, 60, 8)))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
+    buckets = [set(enumerate(near_copies.bands(near_copies.shingles(t.encode())).tolist())) for _, t in rows]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if buckets[a] & buckets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) >= 55
+    assert max(len(sets[0] & s) / len(sets[0] | s) for s in sets[1:100]) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.groups(table(spark, rows)).collect()}
+    assert [(a, b) for a, b in sorted(near) if got[a] != got[b]] == []
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    near |= {(a, b) for b in range(len(rows)) for a in range(b) if bin(prints[a] ^ prints[b]).count("1") <= simhash.RADIUS}
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
 def test_op9_separates_and_keeps(spark):
     rng = random.Random(13)
     clean = [(k, ". ".join(words(rng, 8).capitalize() for _ in range(6)) + ".") for k in range(150)]
