@@ -8,7 +8,8 @@ neighbouring seeds may lie in different documents, runs of ``LONG`` words are se
 at either end. Links from one document to one earlier document are chained: both positions rise, a link gains ``WORDS``, gaps cost ``GAP`` a word on either side, and
 the best predecessor comes from a Fenwick tree of prefix maxima. Chains of at least ``LEAST_SPAN`` words are aligned
 on the words themselves: between links word by word or, where lengths differ, by longest common subsequence, and past
-the ends while matches outweigh mismatches. What is aligned with any earlier documents is put together: a passage of at
+the ends while matches outweigh mismatches; a chain of which under ``SIMILAR`` matches is cut into its longest parts of which
+enough does. What is aligned with any earlier documents is put together: a passage of at
 least ``PASSAGE`` words of which at least ``SIMILAR`` are matched is a repetition; it goes from the later document and
 stays in the earlier ones.
 
@@ -31,7 +32,7 @@ from profilekit.llm import textstats
 from profilekit.llm.common import hold, id_and_text, materialize, mix64, pieces, texts_as_bytes
 from profilekit.llm.exact_substrings import buckets_for, keep_mask
 
-WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 12, 0.1, 20, 50, 0.8, 48, 8
+WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 4, 0.05, 20, 50, 0.8, 48, 8
 LONG, THIN_LONG, SEAM = 32, 20, 4
 _FLUSH = 12 << 20
 _SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
@@ -187,13 +188,14 @@ def _chains(links: DataFrame) -> DataFrame:
 
     def emit(held: np.ndarray) -> Iterator[tuple]:
         cut = np.flatnonzero(np.concatenate([[True], (held[1:, :2] != held[:-1, :2]).any(axis=1)]))
-        for a, b in zip(cut, np.append(cut[1:], len(held)), strict=True):
+        end = np.append(cut[1:], len(held))
+        wide = held[end - 1, 2] - held[cut, 2] + WORDS >= LEAST_SPAN
+        for a, b in zip(cut[wide].tolist(), end[wide].tolist(), strict=True):
             part = held[a:b]
-            if part[-1, 2] - part[0, 2] + WORDS >= LEAST_SPAN:
-                for path in chain(part[:, 2], part[:, 3]):
-                    pos, at = part[path, 2], part[path, 3]
-                    if pos[-1] - pos[0] + WORDS >= LEAST_SPAN:
-                        yield int(part[0, 0]), int(part[0, 1]), pos.astype(np.int32), at.astype(np.int32)
+            for path in chain(part[:, 2], part[:, 3]):
+                pos, at = part[path, 2], part[path, 3]
+                if pos[-1] - pos[0] + WORDS >= LEAST_SPAN:
+                    yield int(part[0, 0]), int(part[0, 1]), pos.astype(np.int32), at.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), np.int64)
@@ -281,10 +283,37 @@ def _extend(a: np.ndarray, b: np.ndarray) -> int:
     return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
 
 
-def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low: int) -> tuple[int, int, np.ndarray] | None:
-    """First and end word in ``own`` of what goes along with ``other``, and which words match; None where too little does.
+def dense(hits: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The longest range of which ``SIMILAR`` or more are hits, then what is left before and after it in the same way.
 
-    ``other`` starts at word ``low`` of its document.
+    Ends that would not be extended over (see ``_extend``) are cut off; ranges of under ``least`` are left out.
+    """
+    out, todo = [], [(0, len(hits))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least:
+            continue
+        balance = np.concatenate([[0.0], np.cumsum(hits[a:b] - SIMILAR)])
+        from_ = np.searchsorted(-np.minimum.accumulate(balance), -balance - 1e-9)
+        end = int((np.arange(len(balance)) - from_).argmax())
+        first = int(from_[end])
+        if end - first < least:
+            continue
+        i, j = a + first, a + end
+        todo += [(a, i), (j, b)]
+        tail = np.cumsum(np.where(hits[i:j][::-1], 1, -2))
+        j -= int(tail.argmin()) + 1 if tail.min() < 0 else 0
+        head = np.cumsum(np.where(hits[i:j], 1, -2))
+        i += int(head.argmin()) + 1 if len(head) and head.min() < 0 else 0
+        if j - i >= least:
+            out.append((i, j))
+    return sorted(out)
+
+
+def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low: int) -> list[tuple[int, int, np.ndarray]]:
+    """First and end words in ``own`` of what goes along with ``other``, and which words match.
+
+    A chain of which too little matches is cut into the parts of which enough does. ``other`` starts at word ``low`` of its document.
     """
     at = [x - low for x in at]
     matched = np.zeros(len(own), bool)
@@ -303,7 +332,9 @@ def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low
     matched[end : end + ahead] = own[end : end + ahead] == other[last : last + ahead]
     first, end = first - back, end + ahead
     hits = matched[first:end]
-    return (first, end, hits) if end - first >= LEAST_SPAN and hits.sum() >= SIMILAR * (end - first) else None
+    if hits.sum() >= SIMILAR * (end - first):
+        return [(first, end, hits)] if end - first >= LEAST_SPAN else []
+    return [(first + a, first + b, hits[a:b]) for a, b in dense(hits, LEAST_SPAN)]
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -326,7 +357,9 @@ def joined(n: int, spans: list[tuple[int, int, np.ndarray]]) -> list[tuple[int,
             out[-1][1] = end
         else:
             out.append([first, end])
-    return [(a, b) for a, b in out if b - a >= PASSAGE and matched[a:b].sum() >= SIMILAR * (b - a)]
+    whole = [(a, b) for a, b in out if matched[a:b].sum() >= SIMILAR * (b - a)]
+    parts = [(a + i, a + j) for a, b in out if matched[a:b].sum() < SIMILAR * (b - a) for i, j in dense(matched[a:b], PASSAGE)]
+    return sorted((a, b) for a, b in whole + parts if b - a >= PASSAGE)
 
 
 def passages(text: bytes, chains: list[dict] | None) -> list[tuple[int, int, list[int]]]:
@@ -337,9 +370,7 @@ def passages(text: bytes, chains: list[dict] | None) -> list[tuple[int, int, lis
     found = []
     for c in sorted(chains, key=lambda c: (c["to_id"], c["pos"][0])):
         if c["pos"][-1] + WORDS <= len(own):
-            span = align(own, np.frombuffer(c["words"], np.uint32), list(c["pos"]), list(c["at"]), c["low"])
-            if span:
-                found.append((span, int(c["to_id"])))
+            found += [(span, int(c["to_id"])) for span in align(own, np.frombuffer(c["words"], np.uint32), list(c["pos"]), list(c["at"]), c["low"])]
     runs = joined(len(own), [span for span, _ in found])
     if not runs:
         return []

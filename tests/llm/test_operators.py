@@ -296,6 +296,26 @@ def test_op7_passages_from_several_documents_and_periodic_text(spark):
     assert all(76 <= out[k] <= 84 for k in (3, 4)) and 60 <= out[6] <= 112 and out[1] == out[2] == out[7] == 0
 
 
+def test_op7_recall_of_passages_with_changed_words(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**12)}" for _ in range(n)]
+    rows, start = [], 1000
+    for k in range(80):
+        passage = fresh(100)
+        changed = list(passage)
+        for i in rng.sample(range(100), 16):
+            changed[i] = fresh(1)[0]
+        rows += [(k, " ".join([*fresh(60), *passage, *fresh(60)])), (start + k, " ".join([*fresh(60), *changed, *fresh(60)]))]
+    found = {r["doc_id"]: r["n_removed"] for r in chaining.op7(table(spark, rows)).collect()}
+    assert all(found[k] == 0 for k in range(80)) and max(found.values()) <= 110
+    assert sum(found[start + k] >= 80 for k in range(80)) >= 72
+
+
+def test_op7_cuts_a_chain_that_spans_other_text():
+    hits = np.array([True] * 60 + [False] * 100 + [True] * 55)
+    assert chaining.dense(hits, 50) == [(0, 60), (160, 215)]
+
+
 def test_op7_chain_against_quadratic():
     rng = random.Random(10)
     for _ in range(60):
