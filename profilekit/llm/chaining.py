@@ -5,7 +5,7 @@ Seeds are runs of ``WORDS`` words, thinned to the smallest hash of every ``THIN`
 its task, and from there first of all), so links grow with seeds, not with their pairs. Since the first places of
 neighbouring seeds may lie in different documents, runs of ``LONG`` words are seeds too, thinned so that any
 ``LONG + THIN_LONG - 1`` = ``PASSAGE + 1`` equal words hold one: it leads to a document that has the whole run, and counts as a link
-at either end. Links from one document to one earlier document are chained: both positions rise, a link gains ``WORDS``, gaps cost ``GAP`` a word on either side, and
+at every ``STEP`` words, first and last included, so that it makes a chain by itself. Links from one document to one earlier document are chained: both positions rise, a link gains ``WORDS``, gaps cost ``GAP`` a word on either side, and
 the best predecessor comes from a Fenwick tree of prefix maxima. Chains of at least ``LEAST_SPAN`` words are aligned
 on the words themselves: between links word by word or, where lengths differ, by longest common subsequence, and past
 the ends while matches outweigh mismatches; a chain of which under ``SIMILAR`` matches is cut into its longest parts of which
@@ -33,12 +33,12 @@ from profilekit.llm.common import hold, id_and_text, materialize, mix64, pieces,
 from profilekit.llm.exact_substrings import buckets_for, keep_mask
 
 WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 4, 0.05, 20, 50, 0.8, 48, 8
-LONG, THIN_LONG, SEAM = 32, 20, 4
+LONG, THIN_LONG, STEP, SEAM = 32, 20, 9, 4
 _FLUSH = 12 << 20
 _SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 #: The last bit of a seed's hash says whether it is long.
 _EVEN = ~np.uint64(1)
-_LINK = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("to", "<i8"), ("at", "<i4")])
+_LINK = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("to", "<i8"), ("at", "<i4"), ("long", "?")])
 
 
 def _thinned(grams: np.ndarray, width: int) -> np.ndarray:
@@ -99,10 +99,8 @@ def _first_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later = rows["doc"] != owner["doc"]
     links = np.zeros(int(later.sum()), _LINK)
     links["doc"], links["pos"], links["to"], links["at"] = rows["doc"][later], rows["pos"][later], owner["doc"][later], owner["pos"][later]
-    ends = links[(rows["h"][later] & np.uint64(1)).astype(bool)]
-    ends["pos"] += LONG - WORDS
-    ends["at"] += LONG - WORDS
-    return rows[head], np.concatenate([links, ends])
+    links["long"] = rows["h"][later] & np.uint64(1)
+    return rows[head], links
 
 
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
@@ -141,7 +139,16 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
 def _meet(table: pa.Table) -> pa.Table:
     seeds_, links = (b"".join(x for x in table.column(c).to_pylist() if x) for c in ("seeds", "links"))
     both = np.concatenate([np.frombuffer(links, _LINK), _first_places(np.frombuffer(seeds_, _SEED))[1]])
-    return pa.table({"doc_id": both["doc"], "pos": both["pos"], "to_id": both["to"], "at": both["at"]})
+    return pa.table({"doc_id": both["doc"], "pos": both["pos"], "to_id": both["to"], "at": both["at"], "long": both["long"]})
+
+
+def spread(links: np.ndarray) -> np.ndarray:
+    """Rows of doc, to, pos, at, sorted and distinct, from those with a fifth column that says which are long."""
+    long = links[links[:, 4] > 0, :4]
+    steps = [long + np.array([0, 0, k, k]) for k in range(STEP, LONG - WORDS + 1, STEP)]
+    rows = np.concatenate([links[:, :4], *steps])
+    rows = rows[np.lexsort(rows.T[[3, 2, 1, 0]])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
 
 
 def chain(pos: np.ndarray, at: np.ndarray) -> list[list[int]]:
@@ -198,14 +205,14 @@ def _chains(links: DataFrame) -> DataFrame:
                     yield int(part[0, 0]), int(part[0, 1]), pos.astype(np.int32), at.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
+        held = np.zeros((0, 5), np.int64)
 
         def table(rows: np.ndarray) -> pa.RecordBatch:
-            doc, to, pos, at = zip(*found, strict=True) if (found := list(emit(rows))) else ((), (), (), ())
+            doc, to, pos, at = zip(*found, strict=True) if (found := list(emit(spread(rows)))) else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(to, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "to_id", "pos", "at"])
 
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)])
+            held = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)])
             last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1)) if len(held) else np.zeros(0)
             if len(last):
                 done = int(last[-1]) + 1
@@ -214,7 +221,7 @@ def _chains(links: DataFrame) -> DataFrame:
         if len(held):
             yield table(held)
 
-    dealt = links.select("doc_id", "to_id", "pos", "at").repartition("doc_id", "to_id").sortWithinPartitions("doc_id", "to_id", "pos", "at")
+    dealt = links.select("doc_id", "to_id", "pos", "at", F.col("long").cast("int")).repartition("doc_id", "to_id").sortWithinPartitions("doc_id", "to_id")
     return dealt.mapInArrow(run, "doc_id long, to_id long, pos array<int>, at array<int>")
 
 
@@ -339,7 +346,7 @@ def align(own: np.ndarray, other: np.ndarray, pos: list[int], at: list[int], low
 
 def _found(docs: DataFrame) -> DataFrame:
     """doc_id, chains: everything needed to align a document's chains."""
-    links = materialize(_deal(docs, buckets_for(docs)).groupBy("bucket").applyInArrow(_meet, "doc_id long, pos int, to_id long, at int"))
+    links = materialize(_deal(docs, buckets_for(docs)).groupBy("bucket").applyInArrow(_meet, "doc_id long, pos int, to_id long, at int, long boolean"))
     chains = materialize(_chains(links))
     return _with_slices(chains, docs).groupBy("doc_id").agg(F.collect_list(F.struct("to_id", "low", "words", "pos", "at")).alias("chains"))
 

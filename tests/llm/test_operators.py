@@ -311,6 +311,20 @@ def test_op7_recall_of_passages_with_changed_words(spark):
     assert sum(found[start + k] >= 80 for k in range(80)) >= 72
 
 
+def test_op7_one_long_seed_leads_to_a_passage_of_frequent_lines(spark):
+    """Each short line has its first place in a document of its own; the passage of all is in a later one."""
+    rng = random.Random(25)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**12)}" for _ in range(n))
+    rows = []
+    for k in range(0, 300, 10):
+        lines = [fresh(17) for _ in range(3)]
+        rows += [(k + i, f"{fresh(30)} {x} {fresh(30)}") for i, x in enumerate(lines)]
+        rows += [(k + i, f"{fresh(30)} {' '.join(lines)} {fresh(30)}") for i in (5, 6)]
+    found = {r["doc_id"]: r["n_removed"] for r in chaining.op7(table(spark, rows)).collect()}
+    assert [found[k + 6] for k in range(0, 300, 10) if not 51 <= found[k + 6] <= 55] == []
+    assert not any(n for k, n in found.items() if k % 10 != 6)
+
+
 def test_op7_cuts_a_chain_that_spans_other_text():
     hits = np.array([True] * 60 + [False] * 100 + [True] * 55)
     assert chaining.dense(hits, 50) == [(0, 60), (160, 215)]
