@@ -529,6 +529,32 @@ def test_op10_families_and_native_plan(spark):
     assert licenses.op10(empty(spark)).count() == 0
 
 
+def test_op10_notices_inside_prose(spark):
+    rng = random.Random(12)
+    notices = {
+        "MIT": "Released under the MIT License.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+        "BSD": "Licensed under the BSD 3-Clause License.",
+        "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+        "CC-BY": "Licensed under CC BY 4.0.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+        "proprietary": "All rights reserved.",
+    }
+    rows, want = [], {}
+    for family, notice in notices.items():
+        for before, after in ((9, 0), (0, 40), (37, 33), (400, 301)):
+            want[len(rows)] = family
+            rows.append((len(rows), f"{words(rng, before)} {notice} {words(rng, after)}"))
+    for text in licenses.UNKNOWN:
+        want[len(rows)] = None
+        rows.append((len(rows), f"{words(rng, 20)} {text} {words(rng, 20)}"))
+    for text in ("She kept a copy of the license in the car and gave permission to use it.", "He may obtain a copy of the license at the office of the town."):
+        want[len(rows)] = None
+        rows.append((len(rows), f"{words(rng, 10)} {text} {words(rng, 10)}"))
+    got = {r["doc_id"]: r["family"] for r in licenses.op10(table(spark, rows)).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_pipeline_runs_on_a_small_table(spark, tmp_path, corpus):
     import corpus_pipeline
 
