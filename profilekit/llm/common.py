@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that are worked on together.
-SUB_BATCH = 1024
+#: Rows, and bytes of strings, of one Arrow batch that are worked on together; one row may have more bytes.
+SUB_BATCH, SUB_BYTES = 1024, 2 << 20
+#: Entries of each half of a cache, and the longest key that is kept: about 20 MB a cache with keys and values of usual size.
+CACHED, LONGEST_KEY = 50_000, 48
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -24,11 +29,46 @@ _HELD: dict[str, Callable[[], object]] = {}
 def hold(owner: str, release: Callable[[], object] = lambda: None) -> None:
     """Called where an operator starts in a Python worker: tables that other operators keep there are released.
 
-    Workers serve all stages of a pipeline in turn; without this they would gather the tables of each.
+    Workers serve all stages of a pipeline in turn; without this they would gather the tables of each. Freed memory
+    goes back to the system, where the C library can do that.
     """
-    for other in [x for x in _HELD if x != owner]:
+    others = [x for x in _HELD if x != owner]
+    for other in others:
         _HELD.pop(other)()
     _HELD[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+class Recent(dict):
+    """What ``make`` gives for a key, remembered for the keys used of late: at most twice ``CACHED`` of them.
+
+    When the young half is full it becomes the old half; what is used again moves back. Longer keys than ``LONGEST_KEY`` are
+    made each time.
+    """
+
+    def __init__(self, make: Callable[[Hashable], object], limit: int = CACHED):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: Hashable) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONGEST_KEY:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            super().clear()
+        self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +81,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and
+    driver and executors are one process. On a cluster without that setting this is an error: executors would write to
+    their own disks."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="profilekit-")
@@ -63,10 +107,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = SUB_BATCH) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = SUB_BATCH, size: int = SUB_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of strings and binaries, of one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        total = np.zeros(batch.num_rows + 1, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                total[1:] += pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(total), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(total, total[at] + size, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

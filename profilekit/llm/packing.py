@@ -3,10 +3,13 @@
 Only documents longer than a sequence are cut. Lengths are at most ``CAPACITY``, so their histogram has a fixed
 size whatever the number of documents, and the whole plan is made on it: lengths over ``CAPACITY // SMALL`` are
 put in ``GROUPS`` groups of equal cardinality and rounded up to the largest of their group (linear grouping); the
-configuration problem over these few sizes is solved by column generation; actual lengths take the places of the
-rounded ones, longest first; what is left over, and all small documents, go best-fit into the remaining room. The plan
-lists runs of equal sequences. Pieces find their place by their rank among pieces of one length, which is counted
-in salted parts so that a frequent length is not one task's work.
+configuration problem over these few sizes is solved by column generation, to within ``NEAR`` of its bound; actual lengths
+take the places of the rounded ones, longest first, but for the smallest place of each configuration of several; what is
+left over, and all small documents, go best-fit, longest first, into the remaining room, so that the room that rounding
+left is used as well. The plan lists runs of equal sequences. Pieces find their place by their rank among pieces of one length,
+which is counted in salted parts, more for a frequent length, so that none is one task's work.
+
+Ids are those of the library as the file sets it up: literals of special tokens become special tokens.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed each; null ids are packed
 like others; an empty table gives an empty result.
@@ -25,41 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import hold, id_and_text, materialize, pieces
+from profilekit.llm.common import Recent, hold, id_and_text, materialize, pieces
 
-CAPACITY, END, GROUPS, SMALL, SALTS = 2048, 0, 24, 8, 64
-MAX_CACHED, _LONG = 600_000, 48
+CAPACITY, END, GROUPS, SMALL, NEAR = 2048, 0, 64, 3, 1e-4
+#: Parts in which the pieces of one length are ranked: one for so many pieces up to ``SALTS`` parts, and one for every ``PART`` pieces at least.
+SPREAD, SALTS, PART = 1024, 64, 1 << 20
 #: Characters on which lower-casing one by one, canonical composition and white space are plain, so that a text can be
-#: tokenised word by word; any other text goes to the library whole.
+#: tokenised word by word; any other text, and one with the literal of a special token, goes to the library whole.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ſ–—‘-”…]")
 
 
-class WordTokens(dict):
-    """Packed ids of a lower-case word with its punctuation; remembers up to ``MAX_CACHED`` of them."""
+class WordTokens:
+    """Packed ids of texts, word by word where that gives the library's ids; words used of late are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self._special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        self._words = Recent(self._word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
+        """Of a lower-case word with its punctuation."""
         core = word.rstrip(string.punctuation)
         if core.isalpha() and core != word:  # letters and what follows them are tokenised apart
-            return self[core] + self[word[len(core) :]]
-        packed = self.whole(word)
-        if len(word) <= _LONG and len(self) < MAX_CACHED:
-            self[word] = packed
-        return packed
+            return self._words[core] + self._words[word[len(core) :]]
+        return self.whole(word)
 
     def encode_packed(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or self._special.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self._words.__getitem__, text.lower().split()))
+
+    def clear(self) -> None:
+        self._words.clear()
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -96,41 +101,52 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _priced(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of sizes of greatest worth that fits: its worth, and how often it has each size."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k, s in enumerate(sizes):
+        if worth[k] > 0:
+            for _ in range(capacity // s):
+                other = best[:-s] + worth[k]
+                better = other > best[s:] + 1e-12
+                if not better.any():
+                    break
+                best[s:][better], choice[s:][better] = other[better], k
+    column, room = np.zeros(len(sizes)), int(best.argmax())
+    while room >= 0 and choice[room] >= 0:
+        column[choice[room]] += 1
+        room -= sizes[choice[room]]
+    return float(column @ worth), column
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """Multisets of sizes that fill sequences, with whole multiplicities within the demand: the configuration
     linear programme by column generation (revised simplex, unbounded knapsack as pricing), rounded down."""
     n = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
-    need = np.array(demand, float)
-    for _ in range(60 * n):
-        inverse = np.linalg.inv(basis)
-        duals = np.ones(n) @ inverse
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(min(sizes), capacity + 1):
-            best[room] = best[room - 1]
-            for k, s in enumerate(sizes):
-                if s <= room and best[room - s] + duals[k] > best[room] + 1e-12:
-                    best[room], choice[room] = best[room - s] + duals[k], k
-        if best[capacity] <= 1 + 1e-7:
+    inverse, need = np.diag(1 / np.diag(basis)), np.array(demand, float)
+    for step in range(60 * n):
+        worth, column = _priced(sizes, inverse.sum(axis=0), capacity)
+        if worth <= 1 + NEAR:
             break
-        column, room = np.zeros(n), capacity
-        while room > 0:
-            if choice[room] < 0:
-                room -= 1
-            else:
-                column[choice[room]] += 1
-                room -= sizes[choice[room]]
         enters, has = inverse @ column, inverse @ need
         ratio = np.where(enters > 1e-9, has / np.where(enters > 1e-9, enters, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
-    amounts, left, out = np.linalg.inv(basis) @ need, list(demand), []
+        out = int(np.argmin(ratio))
+        basis[:, out] = column
+        if step % 50 == 49:
+            inverse = np.linalg.inv(basis)
+        else:
+            row = inverse[out] / enters[out]
+            inverse = inverse - enters[:, None] * row[None]
+            inverse[out] = row
+    amounts, left, found = np.linalg.inv(basis) @ need, list(demand), []
     for k in np.argsort(-amounts):
         column = [int(round(x)) for x in basis[:, k]]
         times = min([max(0, int(amounts[k] + 1e-6)), *(left[i] // c for i, c in enumerate(column) if c)])
         if times:
-            out.append((column, times))
+            found.append((column, times))
             left = [x - c * times for x, c in zip(left, column, strict=True)]
-    return out
+    return found
 
 
 class Plan:
@@ -172,7 +188,7 @@ class Plan:
     def _large(self) -> None:
         lengths = [k for k in self._left if self.capacity // SMALL < k < self.capacity]
         total = sum(self._left[k] for k in lengths)
-        if total < 4 * self.groups:
+        if not total:
             return
         share, groups, room = -(-total // self.groups), [], 0
         for k in lengths:
@@ -191,6 +207,9 @@ class Plan:
             else:
                 merged.append(g)
         for column, times in configurations([g[0][0] for g in merged], [sum(x[1] for x in g) for g in merged], self.capacity):
+            if sum(column) > 1:
+                last = max(k for k, c in enumerate(column) if c)
+                column = [c - (k == last) for k, c in enumerate(column)]
             used = [(merged[k], c) for k, c in enumerate(column) if c]
             while times:
                 equal = min(g[0][1] // c for g, c in used)
@@ -227,31 +246,32 @@ class Plan:
         self._keep(room, first + take, count - take)
 
 
-def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan with fewer sequences of: linear grouping, and best-fit of the exact lengths from the longest down
-    (a group for each length), which wins where small documents abound."""
-    return min((Plan(histogram, capacity, g) for g in (GROUPS, sum(histogram.values()) + 1)), key=lambda p: p.sequences)
-
-
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    cuts = materialize(cut(docs, path, capacity)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counted = cuts.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most capacity * SALTS rows
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    table[counted["length"].to_numpy(), counted["salt"].to_numpy()] = counted["n"].to_numpy()
-    plan = best_plan(dict(enumerate(table.sum(axis=1).tolist())), capacity)
-    rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 6)
-    before = np.cumsum(table, axis=1) - table
+    spread = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("spread")  # written, so that it stays as it is
+    cuts = materialize(cut(docs, path, capacity).select("*", spread))
+    counted, sizes = cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow(), np.zeros(capacity + 1, np.int64)  # at most capacity rows
+    sizes[counted["length"].to_numpy()] = counted["n"].to_numpy()
+    parts = np.maximum(np.minimum(-(-sizes // SPREAD), SALTS), -(-sizes // PART))
+    base = np.cumsum(parts) - parts
+    many = F.element_at(F.array(*map(F.lit, np.maximum(parts, 1).tolist())), F.col("length").cast("int") + 1)
+    cuts = cuts.withColumn("salt", F.pmod("spread", many))
+    per = cuts.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most capacity * SALTS rows and one for every PART pieces
+    table = np.zeros(int(parts.sum()), np.int64)
+    table[base[per["length"].to_numpy()] + per["salt"].to_numpy()] = per["n"].to_numpy()
+    before = np.cumsum(table) - table
+    before -= np.repeat(np.cumsum(sizes) - sizes, parts)
+    rows = np.array(sorted(Plan(dict(enumerate(sizes.tolist())), capacity).rows), np.int64).reshape(-1, 6)
     keys = (rows[:, 0] << 44) + rows[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt, nth = (batch.column(c).to_numpy() for c in ("length", "salt", "nth"))
-            rank = before[length, salt] + nth - 1
+            rank = before[base[length] + salt] + nth - 1
             r = rows[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
             step, copy = np.divmod(rank - r[:, 1], r[:, 4])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(r[:, 3] + step), pa.array(r[:, 5] + copy * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "spread"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return cuts.select(*names, "salt", nth.alias("nth")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

@@ -27,27 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import crc_mod, hold, id_and_text, materialize, pieces
+from profilekit.llm.common import Recent, crc_mod, hold, id_and_text, materialize, pieces
 
 FOLDS, PER_CLASS, MAX_TRAIN_BYTES, MAX_WORDS = 5, 3000, 48 << 20, 20_000
 Z, SEGMENT, STEPS = 5.5, 48, 150
 STEMS = range(3, 9)
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_~`“”‘’«»…"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words worked on at once by the chains, and different words that a task remembers.
-_TOKENS, MAX_KNOWN = 1 << 18, 100_000
+#: Words worked on at once by the chains; one text may have more.
+_TOKENS = 1 << 17
 
 
-class _Bare(dict):
+def numbered(index: dict[str, int], stems: dict[str, float]) -> Recent:
     """Number of a word as it stands in a text: its stem's, or its own; 0 if unknown."""
-
-    def __init__(self, index: dict[str, int], stems: dict[str, float]):
-        super().__init__()
-        self.index, self.stems = index, stems
-
-    def __missing__(self, raw: str) -> int:
-        found = self[raw] = self.index.get(canonical(raw.strip(_STRIP).lower(), self.stems), 0)
-        return found
+    return Recent(lambda raw: index.get(canonical(raw.strip(_STRIP).lower(), stems), 0))
 
 
 def canonical(word: str, stems: dict[str, float]) -> str:
@@ -143,14 +136,12 @@ class Field:
             p = p + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         self.own, self.near, self.bias, self.trans = p[:size].copy(), p[size : 2 * size].copy(), float(p[2 * size]), p[2 * size + 1 :].reshape(2, 2).copy()
 
-    def marginals(self, texts: Iterable[str | None], known: _Bare | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    def marginals(self, texts: Iterable[str | None], known: Recent | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, marginals of its words), in order; ``known`` remembers words from call to call."""
-        bare = _Bare(self.index, self.stems) if known is None else known
+        bare = numbered(self.index, self.stems) if known is None else known
 
         def numbers(text: str | None) -> np.ndarray:
             words = _words(text or "")
-            if len(bare) > MAX_KNOWN:
-                bare.clear()
             return np.fromiter(map(bare.__getitem__, words), np.int64, len(words))
 
         return self.marginals_of(map(numbers, texts))
@@ -304,7 +295,7 @@ def scores(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
-        known = _Bare(field.index, field.stems)
+        known = numbered(field.index, field.stems)
         for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             values, spans = [], []
@@ -323,7 +314,7 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
-        known = _Bare(field.index, field.stems)
+        known = numbered(field.index, field.stems)
         for batch in pieces(batches):
             values = [field.score(m) for _, m in field.marginals(batch.column("text").to_pylist(), known)]
             yield batch.filter(pa.array([v < 0.5 for v in values], pa.bool_()))

@@ -22,28 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.llm import textstats
-from profilekit.llm.common import hold, id_and_text, materialize, pieces, texts_as_bytes
+from profilekit.llm.common import Recent, hold, id_and_text, materialize, pieces, texts_as_bytes
 
 #: The last ``FAVOURABLE`` speak for a document, the others against it; each may keep silent.
 LABELLERS = ("symbols", "symbols_per_word", "repetition", "same_word", "capitals", "exclamations", "fields", "lines", "sentences", "casing")
 FAVOURABLE = 2
-CELLS, SAMPLE, LEAST_WORDS, ROUNDS, MAX_CACHED = 2048, 20_000, 1, 60, 200_000
+CELLS, SAMPLE, LEAST_WORDS, ROUNDS = 2048, 20_000, 1, 60
 _SHAPE = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b for b in range(256))
 
 
-class _Shapes(dict):
+def _cell(word: bytes) -> int:
     """Cell of a word's shape: letters, capitals and digits run together, other characters as they are."""
+    shape = word.translate(_SHAPE)
+    return xxhash.xxh3_64_intdigest(bytes(b for k, b in enumerate(shape) if not k or b != shape[k - 1])) % (CELLS - 128) + 128
 
-    def __missing__(self, word: bytes) -> int:
-        shape = word[:64].translate(_SHAPE)
-        kept = bytes(b for k, b in enumerate(shape) if not k or b != shape[k - 1])
-        cell = xxhash.xxh3_64_intdigest(kept[:12]) % (CELLS - 128) + 128
-        if len(self) < MAX_CACHED and len(word) <= 32:
-            self[word] = cell
-        return cell
 
-
-_SHAPES = _Shapes()
+_SHAPES = Recent(_cell)
 
 
 def describe(text: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray]:
