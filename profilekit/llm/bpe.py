@@ -4,9 +4,12 @@ The merges are compiled by their known local property: a sequence of tokens is t
 every two neighbours, encoded together, give themselves. While bytes of a pre-token come in, the transducer keeps
 the last committed token and the bytes after it. A boundary is alive if what follows it begins some token; when all
 living boundaries share their first tokens, these are emitted. A state depends on the committed token and pending
-bytes alone, so states and their transitions are made once, on first use, and then cost one look-up a byte. A state
-whose pending bytes pass ``LOOKAHEAD`` is not made: that pre-token (a very long run of one pattern) is
-encoded by merges from a heap instead, with the same result. Tables and the cache of whole pre-tokens have fixed bounds.
+bytes alone, so states and their transitions are made once, on first use, and then cost one look-up a byte. Where
+``MAX_STATES`` are reached, all but the present one are forgotten and made again as they are needed, so that memory is bounded and
+the transducer goes on. A state whose pending bytes pass ``LOOKAHEAD`` is not made: that pre-token (a very long run of one
+pattern) is encoded by merges from a heap instead, with the same result, and counted (``Transducer.fallbacks``).
+
+Ids are decoded in blocks of ``BLOCK``: their bytes go through an incremental UTF-8 machine, which holds back an unfinished character.
 
 Defined cases: null text is empty (no tokens); the empty text has no ids; repeated rows are all encoded; null
 ids are returned; an empty table gives an empty result.
@@ -15,23 +18,25 @@ ids are returned; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import bisect
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from profilekit.llm.common import hold, id_and_text, pieces
+from profilekit.llm.common import Recent, hold, id_and_text, pieces
 
-LOOKAHEAD = 192
-MAX_STATES, MAX_CACHED = 150_000, 400_000
-_LONG = 48
-#: Tokens with one beginning that are tested before a boundary counts as alive anyway.
-_TESTED = 16
+LOOKAHEAD, MAX_STATES, BLOCK = 192, 200_000, 4096
+#: Whole pre-tokens of which each half of the cache remembers the ids.
+_KNOWN = 150_000
+#: Pairs of tokens of which it is remembered whether they may stand side by side.
+_PAIRS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +78,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self._sorted = sorted(ranks)
+        self._begins = {t[:k] for t in ranks for k in range(1, len(t))}
         self._halves: dict[int, tuple[int, int]] = {}
         self._whole: dict[tuple[int, int], int] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
@@ -81,16 +86,28 @@ class Transducer:
             self._halves[i] = (parts[0], parts[1]) if len(parts) == 2 else (i, i)
             if len(parts) == 2:
                 self._whole[parts[0], parts[1]] = i
+        self.fallbacks = self.flushes = 0
+        self._side_by_side: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         #: For each state: the committed token, the bytes after it, the living boundaries among them (ascending), and for
-        #: each boundary on a path to a living one the token that ends there and where that token starts.
-        self._states: list[tuple[int, bytes, list[int], dict[int, tuple[int, int]]]] = [(-1, b"", [0], {})]
+        #: each boundary the token that ends there, where that token starts, and where the first token on the way to it ends.
+        self._states: list[tuple[int, bytes, list[int], dict[int, tuple[int, int, int]]]] = [(-1, b"", [0], {})]
         self._ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self._moves: dict[int, tuple[int, bytes]] = {}
         self._finals: dict[int, bytes] = {0: b""}
 
+    def _forget(self, state: int) -> int:
+        """The new number of ``state``, once it and the first are the only ones."""
+        kept = self._states[state]
+        self._reset()
+        self.flushes += 1
+        if state:
+            self._states.append(kept)
+            self._ids[kept[:2]] = 1
+        return min(state, 1)
+
     def _fits(self, left: int, right: int) -> bool:
         """Whether both, encoded together, give themselves: no earlier merge reaches over the boundary.
 
@@ -99,6 +116,14 @@ class Transducer:
         """
         if left < 0:
             return True
+        known = self._side_by_side.get(left << 32 | right)
+        if known is None:
+            if len(self._side_by_side) >= _PAIRS:
+                self._side_by_side.clear()
+            known = self._side_by_side[left << 32 | right] = self._undone(left, right)
+        return known
+
+    def _undone(self, left: int, right: int) -> bool:
         bound, halves, whole = 1 << 32, self._halves, self._whole
         while True:
             if whole.get((left, right), bound) < bound:
@@ -115,59 +140,49 @@ class Transducer:
             else:
                 return True
 
-    def _open(self, left: int, begun: bytes) -> bool:
-        """Whether some longer token starts with ``begun`` and may follow ``left``; yes without a test if many start so."""
-        at = bisect.bisect_right(self._sorted, begun)
-        for k in range(at, at + _TESTED):
-            if k >= len(self._sorted) or not self._sorted[k].startswith(begun):
-                return False
-            if self._fits(left, self.ranks[self._sorted[k]]):
-                return True
-        return True
-
-    @staticmethod
-    def _path(cells: dict[int, tuple[int, int]], stop: int) -> list[int]:
-        out = [stop]
-        while out[-1] > 0:
-            out.append(cells[out[-1]][1])
-        return out[::-1]
-
     def _move(self, state: int, byte: int) -> tuple[int, bytes] | None:
         last, pending, living, cells = self._states[state]
         pending += bytes((byte,))
         n = len(pending)
-        if n > LOOKAHEAD or len(self._states) >= MAX_STATES:
+        if n > LOOKAHEAD:
             return None
-        cells, alive = dict(cells), []
+        alive, here = [], None
         for p in living:
             begun = pending[p:]
-            token = self.ranks.get(begun)
-            if token is not None and n not in cells and self._fits(cells[p][0] if p else last, token):
-                cells[n] = (token, p)
-            if self._open(cells[p][0] if p else last, begun):
+            if here is None:
+                token = self.ranks.get(begun)
+                if token is not None and self._fits(cells[p][0] if p else last, token):
+                    here = (token, p, cells[p][2] if p else n)
+            if begun in self._begins:
                 alive.append(p)
-        if n in cells:
+        if here is not None:
+            cells = {**cells, n: here}
             alive.append(n)
-        paths = [self._path(cells, p) for p in alive]
-        k = 0
-        while paths and all(len(x) > k + 1 for x in paths) and len({x[k + 1] for x in paths}) == 1:
-            k += 1
-        emitted = [cells[x][0] for x in paths[0][1 : k + 1]] if k else []
-        base = paths[0][k] if k else 0
-        if k:
-            last, pending = emitted[-1], pending[base:]
+        emitted = b""
+        while alive[0] and all(cells[p][2] == cells[alive[0]][2] for p in alive):
+            base = cells[alive[0]][2]
+            last, pending, alive = cells[base][0], pending[base:], [p - base for p in alive]
+            emitted += last.to_bytes(4, "little")
+            further: dict[int, tuple[int, int, int]] = {}
+            for x, (token, p, _) in cells.items():
+                if p == base or p - base in further:
+                    further[x - base] = (token, p - base, x - base if p == base else further[p - base][2])
+            cells = further
         key = (last, pending)
         to = self._ids.get(key)
         if to is None:
             to = self._ids[key] = len(self._states)
-            kept = {x - base: (cells[x][0], cells[x][1] - base) for path in paths for x in path[k + 1 :]}
-            self._states.append((last, pending, [p - base for p in alive], kept))
-        move = self._moves[state << 8 | byte] = (to, np.array(emitted, "<u4").tobytes() if emitted else b"")
+            self._states.append((last, pending, alive, cells))
+        move = self._moves[state << 8 | byte] = (to, emitted)
         return move
 
     def _final(self, state: int) -> bytes:
         _, pending, _, cells = self._states[state]
-        out = self._finals[state] = np.array([cells[x][0] for x in self._path(cells, len(pending))[1:]], "<u4").tobytes()
+        at, out = len(pending), b""
+        while at:
+            token, at, _ = cells[at]
+            out = token.to_bytes(4, "little") + out
+        self._finals[state] = out
         return out
 
     def encode(self, piece: bytes) -> bytes:
@@ -175,8 +190,12 @@ class Transducer:
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(self._states) >= MAX_STATES:
+                    state = self._forget(state)
+                    moves = self._moves
                 move = self._move(state, byte)
                 if move is None:
+                    self.fallbacks += 1
                     return np.array(merge(piece, self.ranks), "<u4").tobytes()
             state = move[0]
             if move[1]:
@@ -188,25 +207,13 @@ class Transducer:
         return b"".join(out)
 
 
-class _Cache(dict):
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.machine = machine
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.machine.encode(piece.encode("utf-8"))
-        if len(piece) <= _LONG and len(self) < MAX_CACHED:
-            self[piece] = packed
-        return packed
-
-
 class Codec:
     """Text to packed ids and back, each match of ``pattern`` on its own, without special tokens."""
 
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(read_ranks(path))
         self._find = regex.compile(pattern).findall
-        self._cache = _Cache(self.machine)
+        self._cache = Recent(lambda piece: self.machine.encode(piece.encode("utf-8")), _KNOWN)
         self._vocab = self.machine.bytes_of
 
     def encode_packed(self, text: str) -> bytes:
@@ -218,11 +225,11 @@ class Codec:
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self._vocab.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as ids come in; bytes of an unfinished character wait for the next ids."""
-        state = Utf8()
-        for i in ids:
-            if out := state.feed(self._vocab[i]):
+    def decode_stream(self, ids: Iterable[int], block: int = 1) -> Iterator[str]:
+        """Text as ids come in, ``block`` at a time; bytes of an unfinished character wait for the next ids."""
+        state, ids = Utf8(), iter(ids)
+        while some := list(islice(ids, block)):
+            if out := state.feed(b"".join(map(self._vocab.__getitem__, some))):
                 yield out
         if out := state.close():
             yield out
@@ -259,6 +266,16 @@ class Utf8:
         return out
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without garbage collection, which would go through all states again and again; they hold no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -276,7 +293,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in pieces(batches, 256):
-            ids = [np.frombuffer(c.encode_packed(t or ""), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
+            with _uncollected():
+                ids = [np.frombuffer(c.encode_packed(t or ""), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -288,9 +306,12 @@ def op4(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in pieces(batches, 256):
             rows: list[tuple[int, str, str]] = []
             for text in batch.column("text").to_pylist():
-                packed = c.encode_packed(text or "")
-                back = c.decode_bytes(np.frombuffer(packed, "<u4").tolist())
-                rows.append((len(packed) // 4, sha(packed).hexdigest(), sha(back).hexdigest()))
+                with _uncollected():
+                    packed = c.encode_packed(text or "")
+                back = sha()
+                for part in c.decode_stream(np.frombuffer(packed, "<u4").tolist(), BLOCK):
+                    back.update(part.encode("utf-8"))
+                rows.append((len(packed) // 4, sha(packed).hexdigest(), back.hexdigest()))
             n, a, b = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
