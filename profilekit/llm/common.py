@@ -134,6 +134,24 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+#: Keys that are looked up by broadcast: those with more than a ``HOT``-th of all rows, so fewer than ``HOT`` keys.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    """``rows`` joined to ``table`` on ``key``, of which ``table`` has each at most once, with how many rows have it in ``n``.
+
+    Rows of frequent keys stay where they are: the table's rows for them, fewer than ``HOT``, are broadcast. The others
+    are shuffled. Both are tables that were written; ``n`` is left out. Rows with a null key are, too.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    often, columns = F.col("n") > total / HOT, [c for c in table.columns if c not in (*key, "n")]
+    known = rows.join(F.broadcast(table.where(often).drop("n").withColumn("is_often", F.lit(True))), list(key), "left")
+    few = known.where("is_often is null").drop(*columns, "is_often").join(table.where(~often).drop("n"), list(key))
+    order = [*key, *[c for c in rows.columns if c not in key], *columns]
+    return known.where("is_often").select(*order).union(few.select(*order))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges over longs -> (node, label): the smallest node reachable. Distributed; no path is collected.
 

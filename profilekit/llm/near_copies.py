@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.llm import simhash, textstats
-from profilekit.llm.common import connected_components, hold, id_and_text, materialize, mix64, pieces, texts_as_bytes
+from profilekit.llm.common import connected_components, hold, id_and_text, looked_up, materialize, mix64, pieces, texts_as_bytes
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
 #: Nodes of a bucket that are compared with as many others at once.
@@ -153,12 +153,13 @@ def rest(met: DataFrame, labelled: DataFrame, sets: DataFrame) -> DataFrame:
     of = met.select(*bucket, "node").join(labelled, "node")
     opened = of.groupBy(*bucket).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*bucket)
     of = materialize(of.join(opened, bucket, "left_semi"))
-    counts = of.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
-    pools = counts.where(F.col("n") < CHUNK).groupBy(*bucket).agg(F.sum("n").alias("pool"))
-    big, parts = F.col("n") >= CHUNK, lambda n: F.ceil(F.col(n) / CHUNK).cast("long")
-    chunk = F.when(big, F.struct(F.lit(True).alias("big"), F.col("label").alias("own"), F.pmod(F.xxhash64("node"), parts("n")).alias("part")))
+    counts = materialize(of.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n")))
+    pools = counts.groupBy(*bucket).agg(F.sum(F.when(F.col("n") < CHUNK, F.col("n"))).alias("pool"))
+    sizes = materialize(counts.join(pools, bucket).select(*bucket, "label", "n", F.col("n").alias("size"), "pool"))
+    big, parts = F.col("size") >= CHUNK, lambda n: F.ceil(F.col(n) / CHUNK).cast("long")
+    chunk = F.when(big, F.struct(F.lit(True).alias("big"), F.col("label").alias("own"), F.pmod(F.xxhash64("node"), parts("size")).alias("part")))
     chunk = chunk.otherwise(F.struct(F.lit(False).alias("big"), F.lit(0).cast("long").alias("own"), F.pmod(F.xxhash64("label"), parts("pool")).alias("part")))
-    dealt = materialize(of.join(counts, [*bucket, "label"]).join(pools, bucket, "left").select(*bucket, "node", "label", chunk.alias("chunk")))
+    dealt = materialize(looked_up(of, sizes, *bucket, "label").select(*bucket, "node", "label", chunk.alias("chunk")))
     chunks = dealt.select(*bucket, "chunk").distinct()
     twos = chunks.withColumnRenamed("chunk", "x").join(chunks.withColumnRenamed("chunk", "y"), bucket)
     twos = twos.where("x <= y and not (x.big and y.big and x.own = y.own)").withColumn("chunk", F.explode(F.array_distinct(F.array("x", "y"))))
@@ -169,7 +170,7 @@ def rest(met: DataFrame, labelled: DataFrame, sets: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links reach. Rows without doc_id are left out."""
     rows = materialize(described(docs))
-    nodes = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
     hubs = nodes.groupBy("fp").agg(F.min("node").alias("hub"))
     prints = simhash.links(materialize(hubs.select("fp")))
     of = lambda name, to: hubs.select(F.col("fp").alias(name), F.col("hub").alias(to))
@@ -177,17 +178,17 @@ def groups(docs: DataFrame) -> DataFrame:
     equal = nodes.join(hubs, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     known = materialize(within.union(equal).where("a <> b"))
     keyed = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
-    first = keyed.groupBy("band", "key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("band", "key", "b")
-    met = materialize(keyed.join(first, ["band", "key"]).where("node <> b"))
+    first = materialize(keyed.groupBy("band", "key").agg(F.min("node").alias("b"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("b <> last").drop("last"))
+    met = materialize(looked_up(keyed, first, "band", "key").where("node <> b"))
     sets = materialize(_sets(docs, met.select(F.col("node").alias("doc_id")).union(met.select("b")).distinct()))
     pairs = materialize(met.select(F.col("node").alias("a"), "b").distinct().join(known, ["a", "b"], "left_anti"))
     labels = connected_components(known.union(similar(pairs, sets)))
-    labelled = materialize(nodes.select("same", "node").join(labels, "node", "left").select("same", "node", F.coalesce("label", "node").alias("label")))
+    labelled = materialize(nodes.select("same", "n", "node").join(labels, "node", "left").select("same", "n", "node", F.coalesce("label", "node").alias("label")))
     name = lambda x: labelled.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
     further = rest(met, labelled.select("node", "label"), sets).join(name("a"), "a").join(name("b"), "b")
     joined = connected_components(further.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
-    named = labelled.join(joined.select(F.col("node").alias("label"), F.col("label").alias("component")), "label", "left").select("same", F.coalesce("component", "label").alias("component_id"))
-    return rows.select("doc_id", "same").join(named, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = labelled.join(joined.select(F.col("node").alias("label"), F.col("label").alias("component")), "label", "left").select("same", "n", F.coalesce("component", "label").alias("component_id"))
+    return looked_up(rows.select("doc_id", "same"), materialize(named), "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from profilekit.llm.common import Recent, hold, id_and_text, materialize, pieces
 
 CAPACITY, END, GROUPS, SMALL, NEAR = 2048, 0, 64, 3, 1e-4
 #: Parts in which the pieces of one length are ranked: one for so many pieces up to ``SALTS`` parts, and one for every ``PART`` pieces at least.
-SPREAD, SALTS, PART = 1024, 64, 1 << 20
+SPREAD, SALTS, PART = 128, 256, 1 << 20
 #: Characters on which lower-casing one by one, canonical composition and white space are plain, so that a text can be
 #: tokenised word by word; any other text, and one with the literal of a special token, goes to the library whole.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ſ–—‘-”…]")

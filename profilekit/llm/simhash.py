@@ -6,10 +6,11 @@ other through links. Every document gets the smallest ``doc_id`` it reaches.
 
 Tables: bit i carries the vector m(i) of three bits; for each of the seven non-zero vectors v, one table keeps
 the bits i with <m(i), v> = 1. Any two differing bits leave a non-zero v orthogonal to both, so every pair within
-the radius agrees on all the bits of some table. Fingerprints alone in all their buckets end here. Inside buckets
-no pairs are formed: two fingerprints are within two bits exactly if they share a member of their "one bit
-flipped, or none" sets, so each emits its 65 of those and is tied to the smallest fingerprint that meets there.
-Work is linear in distinct fingerprints however large a group is, and copies count once.
+the radius shares a bucket of some table. Fingerprints alone in all their buckets end here. Where two share a bucket
+they are compared. A larger bucket forms no pairs: its members agree on the table's bits, so two of them are within two
+bits exactly if they share a member of their "one of the other bits flipped, or none" sets; each emits those (about 30)
+inside the bucket and is tied to the smallest fingerprint that meets there; no more than these can meet at one. Work is
+linear in distinct fingerprints however large a group is, and copies count once.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; repeated rows are all returned; a null ``doc_id`` is returned and
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import connected_components, hex64, id_and_text, materialize, pieces, texts_as_bytes
+from profilekit.llm.common import connected_components, hex64, id_and_text, looked_up, materialize, pieces, texts_as_bytes
 
 RADIUS, SEED, WORDS = 2, 42, 3
 #: Shingles whose bits are counted at once.
@@ -73,25 +74,30 @@ def cover_masks() -> list[int]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) over a table of distinct ``fp``: enough links to connect all that are within two bits."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(cover_masks())])
+    masks = cover_masks()
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    shared = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key")
-    close = keyed.join(shared, ["t", "key"], "left_semi").select("fp").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    met = materialize(close.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("mid")))
-    hubs = met.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("mid", "lo")
-    return met.join(hubs, "mid").where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+    buckets = materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
+    twos = buckets.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    one = lambda i: F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")
+    others = F.array(*[F.array(F.lit(0).cast("long"), *[one(i) for i in range(64) if not m >> i & 1]) for m in masks])
+    members = keyed.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi")
+    flips = F.transform(F.element_at(others, F.col("t") + 1), lambda bit: F.col("fp").bitwiseXOR(bit))
+    met = materialize(members.select("fp", "t", F.explode(flips).alias("mid")))  # ``mid`` keeps the table's bits, and so tells the bucket
+    hubs = met.groupBy("t", "mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "mid", "lo")
+    more = met.join(hubs, ["t", "mid"]).where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    return twos.union(more).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id reachable through links."""
     prints = materialize(fingerprints(docs, words))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     labels = connected_components(links(distinct))
-    parts = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("part"))
+    parts = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", "n", F.coalesce("label", "fp").alias("part"))
     names = parts.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    by_print = parts.join(names, "part").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialize(parts.join(names, "part").select("fp", "n", "component_id"))
+    return looked_up(prints, by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
