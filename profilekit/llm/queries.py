@@ -78,5 +78,5 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only op1 can be said in SQL: the others tokenise, hash with functions that SQL lacks, or learn."""
-    return {"op1_suffix_dedup": OP1_SQL}
+    """What SQL can say: the others tokenise, hash with functions that SQL lacks, or learn from data."""
+    return {"op1_suffix_dedup": OP1_SQL, "op10_license_scan": licenses.oracle()}
