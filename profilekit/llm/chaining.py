@@ -15,7 +15,9 @@ stays in the earlier ones.
 
 Words are compared in lower case (A-Z). Order is by doc_id. Defined cases: null and empty texts have no passages; rows
 without doc_id cause and lose nothing; rows that repeat a doc_id are read as one document and are not compared with
-each other (spans apply within each text); repetition inside one document is not looked for; an empty table gives an empty result.
+each other (spans apply within each text; where their texts differ, passages are compared with the first of them in order); a passage
+that a document repeats is a repetition of its first place there, but for text that repeats itself after fewer than ``LONG``
+words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.llm import textstats
-from profilekit.llm.common import hold, id_and_text, materialize, mix64, pieces, texts_as_bytes
+from profilekit.llm.common import hold, id_and_text, materialize, mix64, pieces, texts_as_bytes, unused
 from profilekit.llm.exact_substrings import buckets_for, keep_mask
 
 WORDS, THIN, GAP, LEAST_SPAN, PASSAGE, SIMILAR, MARGIN, DROP = 5, 4, 0.05, 20, 50, 0.8, 48, 8
 LONG, THIN_LONG, STEP, SEAM = 32, 20, 9, 4
 _FLUSH = 12 << 20
+#: Cells of one table of common subsequences; beyond, its halves are worked on.
+_CELLS = 1 << 16
 _SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 #: The last bit of a seed's hash says whether it is long.
 _EVEN = ~np.uint64(1)
@@ -92,11 +96,14 @@ def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each seed, and links of the others from other documents to it."""
+    """The first of each seed, and links of the others to it."""
     rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["h"]))]
     head = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]) if len(rows) else np.zeros(0, bool)
     owner = rows[head][np.cumsum(head) - 1] if len(rows) else rows
     later = rows["doc"] != owner["doc"]
+    if len(rows):  # in one document, what comes again at once is short-period text
+        again = (rows["h"][1:] == rows["h"][:-1]) & (rows["doc"][1:] == rows["doc"][:-1]) & (rows["pos"][1:] - rows["pos"][:-1] >= LONG)
+        later[1:] |= again & ~head[1:]
     links = np.zeros(int(later.sum()), _LINK)
     links["doc"], links["pos"], links["to"], links["at"] = rows["doc"][later], rows["pos"][later], owner["doc"][later], owner["pos"][later]
     links["long"] = rows["h"][later] & np.uint64(1)
@@ -246,7 +253,9 @@ def _with_slices(chains: DataFrame, docs: DataFrame) -> DataFrame:
                     part.append(h[w["low"] : w["high"]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(part, pa.binary())], ["to_id", "low", "high", "words"])
 
-    rows = id_and_text(docs).dropDuplicates(["doc_id"]) if _repeats(docs) else id_and_text(docs)
+    rows = id_and_text(docs)
+    if _repeats(docs):
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     slices = rows.join(asked, rows["doc_id"] == asked["to_id"]).select("doc_id", "text", "want").mapInArrow(run, "to_id long, low int, high int, words binary")
     return ranged.join(slices, ["to_id", "low", "high"])
 
@@ -255,13 +264,29 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.select(docs["doc_id"].alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def _longest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with every beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return row
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places in ``a`` of a longest common subsequence."""
-    n, m = len(a), len(b)
-    if n == m and (a == b).mean() >= 0.5:
+    """Places in ``a`` of a longest common subsequence, or of the equal words where most are; linear memory at any length."""
+    if len(a) == len(b) and len(a) and (a == b).mean() >= 0.5:
         return np.flatnonzero(a == b).tolist()
-    if not n or not m or n * m > 1 << 16:
+    return _subsequence(a, b)
+
+
+def _subsequence(a: np.ndarray, b: np.ndarray) -> list[int]:
+    n, m = len(a), len(b)
+    if not n or not m:
         return []
+    if n > 1 and n * m > _CELLS:  # halves of ``a`` with the parts of ``b`` that go best with them
+        half = n // 2
+        at = int((_longest(a[:half], b) + _longest(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _subsequence(a[:half], b[:at]) + [half + i for i in _subsequence(a[half:], b[at:])]
     table = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n - 1, -1, -1):
         table[i, :m] = np.maximum(table[i + 1, :m], np.where(a[i] == b, table[i + 1, 1:] + 1, 0))
@@ -411,7 +436,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all rows and columns stay, ``n_chars`` follows the text."""
-    schema, mark = docs.schema, "chains_of_passages"
+    schema, mark, key = docs.schema, unused(docs, "chains_of_passages"), unused(docs, "id_of_passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
@@ -428,8 +453,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], [f.name for f in schema.fields])
 
     found = _found(docs)
-    found = found.select(F.col("doc_id").alias("id_of_passages"), F.col("chains").alias(mark))
-    return docs.join(found, docs["doc_id"].cast("long") == found["id_of_passages"], "left").drop("id_of_passages").mapInArrow(run, schema)
+    found = found.select(F.col("doc_id").alias(key), F.col("chains").alias(mark))
+    return docs.join(found, docs["doc_id"].cast("long") == found[key], "left").drop(key).mapInArrow(run, schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many underscores as make it the name of no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and
     driver and executors are one process. On a cluster without that setting this is an error: executors would write to

@@ -352,6 +352,35 @@ def test_op7_one_long_seed_leads_to_a_passage_of_frequent_lines(spark):
     assert not any(n for k, n in found.items() if k % 10 != 6)
 
 
+def test_op7_repeats_inside_a_document_and_clashing_columns(spark):
+    rng = random.Random(33)
+    passage = words(rng, 80)
+    rows = [(1, " ".join([words(rng, 50), passage, words(rng, 100), passage, words(rng, 30), passage])), (2, words(rng, 300)), (3, "one two three " * 200), (4, None)]
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["sources"]) for r in chaining.op7(table(spark, rows)).collect()}
+    assert 156 <= found[1][0] <= 168 and found[1][1:] == (2, [1]) and [found[k][0] for k in (2, 3, 4)] == [0, 0, 0]
+    schema = "doc_id long, text string, chains_of_passages string, id_of_passages long, CHAINS_of_passages_ int, lost_id string, bands int, node string"
+    clashing = spark.createDataFrame([(k, t, "x", 7, 1, "y", 2, "z") for k, t in rows], schema)
+    kept = chaining.remove_repeated(clashing)
+    assert kept.schema == clashing.schema
+    after = {r["doc_id"]: r for r in kept.collect()}
+    assert after[1]["text"].count(passage) == 1 and all(tuple(r)[2:] == ("x", 7, 1, "y", 2, "z") for r in after.values())
+    for keep in (near_copies.keep_one, simhash.keep_one, weak_labels.keep_accepted):
+        assert keep(clashing).schema == clashing.schema and keep(clashing).count() <= 4
+
+
+def test_op7_longest_common_subsequence_by_halves(monkeypatch):
+    rng = random.Random(34)
+    for _ in range(200):
+        a, b = (np.array([rng.randint(0, 4) for _ in range(rng.randint(0, 30))], np.int64) for _ in range(2))
+        whole = chaining._subsequence(a, b)
+        monkeypatch.setattr(chaining, "_CELLS", 8)
+        parts = chaining._subsequence(a, b)
+        monkeypatch.setattr(chaining, "_CELLS", 1 << 16)
+        assert len(parts) == len(whole) == chaining._longest(a, b)[-1] and parts == sorted(set(parts))
+        rest = iter(b.tolist())
+        assert all(any(x == y for y in rest) for x in a[parts].tolist())
+
+
 def test_op7_cuts_a_chain_that_spans_other_text():
     hits = np.array([True] * 60 + [False] * 100 + [True] * 55)
     assert chaining.dense(hits, 50) == [(0, 60), (160, 215)]
