@@ -100,7 +100,9 @@ def test_op2_base_rules_and_threshold(spark):
     assert ngram_ratio.op2(table(spark, good), labels.limit(0)).where("kept").count() == len(good)
 
 
-def test_op3_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("dense", [4096, 4])
+def test_op3_recall_and_exact_scores(spark, monkeypatch, dense):
+    monkeypatch.setattr(cross_polytope, "DENSE", dense)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -126,6 +128,29 @@ def test_op3_recall_and_exact_scores(spark):
     assert cross_polytope.op3(few.limit(0)).count() == 0
 
 
+def test_op3_repeated_ids_count_by_their_nearest_vector(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(400)]
+    rows += [(k, rng.normal(size=16).tolist()) for k in range(300, 360) for _ in range(3)] + rows[5:25] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for q in range(0, 400, 100):
+        own = min((np.array(v).tobytes() for k, v in rows if k == q))
+        near = {}
+        for k, v in rows:
+            if k != q:
+                near[k] = min(near.get(k, np.inf), float(np.sqrt(((np.array(v) - np.frombuffer(own)) ** 2).sum())))
+        want[q] = sorted((d, k) for k, d in near.items())[:10]
+    got = {}
+    for r in cross_polytope.search(frame.repartition(5)).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    found = 0
+    for q, pairs in got.items():
+        assert len({k for _, k in pairs}) == 10
+        found += sum(any(k == x and d == pytest.approx(y) for y, x in want[q]) for d, k in pairs)
+    assert found >= 36
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.Codec(tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN)
