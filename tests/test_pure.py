@@ -194,9 +194,9 @@ def test_json_paths_for_the_engine():
 
 
 def test_markdown_and_diagrams_are_inert():
-    assert render.text("a|b\n<i>*x*") == "a\\|b &lt;i&gt;\\*x\\*" and render.code("a`b|c") == "``a`b\\|c``" and render.diagram_text('a"b<c>') == "a'b'c'"
+    assert render.text("a|b\n<i>*x*") == "a\\|b &lt;i&gt;\\*x\\*" and render.code("a`b|c") == "`` a`b\\|c ``" and render.code("``x") == "` ``x `" and render.diagram_text('a"b<c>#') == "a#34;b#60;c#62;#35;"
     taken: set[str] = set()
-    assert [render.diagram_name(n, taken) for n in ("a.b", "a_b", "1x", "")] == ["a_b", "a_b_2", "t_1x", "entity"]
+    assert [render.diagram_name(n, taken) for n in ("a.b", "a_b", "1x", "")] == ["a_b", "a_b_28cb39ea", "e_1x", "e_"]
     assert render.share(0.00001) == "<0.01%" and render.share(0.99999) == ">99.99%" and render.share(None) == "—" and render.count(1234) == "1,234"
 
 
