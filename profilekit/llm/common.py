@@ -60,11 +60,14 @@ class Recent(dict):
             value = self.make(key)
             if len(key) > LONGEST_KEY:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key: Hashable, value: object) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             super().clear()
         self[key] = value
-        return value
 
     def clear(self) -> None:
         super().clear()

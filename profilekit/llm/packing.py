@@ -28,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import Recent, hold, id_and_text, materialize, pieces
+from profilekit.llm.common import LONGEST_KEY, Recent, hold, id_and_text, materialize, pieces
 
 CAPACITY, END, GROUPS, SMALL, NEAR = 2048, 0, 64, 3, 1e-4
+#: Fixed value: how the vocabulary marks a token that ends a pre-token.
+WORD_END = "</w>"
+#: Words of which each half of the cache remembers the ids: about 20 MB a half.
+KNOWN = 150_000
 #: Parts in which the pieces of one length are ranked: one for so many pieces up to ``SALTS`` parts, and one for every ``PART`` pieces at least.
 SPREAD, SALTS, PART = 128, 256, 1 << 20
 #: Characters on which lower-casing one by one, canonical composition and white space are plain, so that a text can be
@@ -46,7 +50,10 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self._special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
-        self._words = Recent(self._word)
+        vocabulary = self.library.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._words = Recent(self._word, KNOWN)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,7 +68,20 @@ class WordTokens:
     def encode_packed(self, text: str) -> bytes:
         if _PLAIN.search(text) or self._special.search(text):
             return self.whole(text)
-        return b"".join(map(self._words.__getitem__, text.lower().split()))
+        words = text.lower().split()
+        self._learn({w for w in words if w not in self._words and w not in self._words.old})
+        return b"".join(map(self._words.__getitem__, words))
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Words of letters alone are one pre-token each, so all that are new are encoded in one call and cut after word ends."""
+        cores = {core for w in fresh if len(core := w.rstrip(string.punctuation)) <= LONGEST_KEY and core.isalpha()}
+        cores = [c for c in cores if c not in self._words and c not in self._words.old]
+        if len(cores) > 1:
+            ids = np.array(self.library.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self._ends[ids]) + 1
+            if len(stops) == len(cores):
+                for core, a, b in zip(cores, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    self._words.put(core, ids[a:b].tobytes())
 
     def clear(self) -> None:
         self._words.clear()
