@@ -22,6 +22,7 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        self._special = [x.content.lower() for x in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -66,16 +67,20 @@ class WordTokens:
         return self.whole(word)
 
     def encode_packed(self, text: str) -> bytes:
-        if _PLAIN.search(text) or self._special.search(text):
+        lower = text.lower()
+        if _PLAIN.search(text) or any(x in lower for x in self._special):
             return self.whole(text)
-        words = text.lower().split()
-        self._learn({w for w in words if w not in self._words and w not in self._words.old})
+        words = lower.split()
+        self._learn(self._unknown(set(words)))
         return b"".join(map(self._words.__getitem__, words))
 
-    def _learn(self, fresh: set[str]) -> None:
+    def _unknown(self, some: set[str]) -> list[str]:
+        return list(filterfalse(self._words.old.__contains__, filterfalse(self._words.__contains__, some)))
+
+    def _learn(self, fresh: list[str]) -> None:
         """Words of letters alone are one pre-token each, so all that are new are encoded in one call and cut after word ends."""
         cores = {core for w in fresh if len(core := w.rstrip(string.punctuation)) <= LONGEST_KEY and core.isalpha()}
-        cores = [c for c in cores if c not in self._words and c not in self._words.old]
+        cores = self._unknown(cores)
         if len(cores) > 1:
             ids = np.array(self.library.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self._ends[ids]) + 1
