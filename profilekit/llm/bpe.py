@@ -4,10 +4,11 @@ The merges are compiled by their known local property: a sequence of tokens is t
 every two neighbours, encoded together, give themselves. While bytes of a pre-token come in, the transducer keeps
 the last committed token and the bytes after it. A boundary is alive if what follows it begins some token; when all
 living boundaries share their first tokens, these are emitted. A state depends on the committed token and pending
-bytes alone, so states and their transitions are made once, on first use, and then cost one look-up a byte. Where
-``MAX_STATES`` are reached, all but the present one are forgotten and made again as they are needed, so that memory is bounded and
-the transducer goes on. A state whose pending bytes pass ``LOOKAHEAD`` is not made: that pre-token (a very long run of one
-pattern) is encoded by merges from a heap instead, with the same result, and counted (``Transducer.fallbacks``).
+bytes alone, so states and their transitions are made once and then cost one look-up a byte. They are made when they
+are met for the second time: at the first, the rest of that pre-token is followed by the same rules without making
+states, since most rare words come once. Where ``MAX_STATES`` are reached, all but the present one are forgotten and made
+again as they are needed, so that memory is bounded and the transducer goes on. A state whose pending bytes pass
+``LOOKAHEAD`` is not made: the rest of that pre-token (a very long run of one pattern) is followed in the same way.
 
 Ids are decoded in blocks of ``BLOCK``: their bytes go through an incremental UTF-8 machine, which holds back an unfinished character.
 
@@ -37,6 +38,8 @@ LOOKAHEAD, MAX_STATES, BLOCK = 192, 200_000, 4096
 _KNOWN = 150_000
 #: Pairs of tokens of which it is remembered whether they may stand side by side.
 _PAIRS = 1 << 17
+#: Transitions of which it is remembered that they were met once.
+_MET = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,7 +89,7 @@ class Transducer:
             self._halves[i] = (parts[0], parts[1]) if len(parts) == 2 else (i, i)
             if len(parts) == 2:
                 self._whole[parts[0], parts[1]] = i
-        self.fallbacks = self.flushes = 0
+        self.past = self.flushes = 0
         self._side_by_side: dict[int, bool] = {}
         self._reset()
 
@@ -96,6 +99,7 @@ class Transducer:
         self._states: list[tuple[int, bytes, list[int], dict[int, tuple[int, int, int]]]] = [(-1, b"", [0], {})]
         self._ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self._moves: dict[int, tuple[int, bytes]] = {}
+        self._once: set[int] = set()
         self._finals: dict[int, bytes] = {0: b""}
 
     def _forget(self, state: int) -> int:
@@ -185,18 +189,51 @@ class Transducer:
         self._finals[state] = out
         return out
 
+    def _simulated(self, state: int, rest: bytes) -> bytes:
+        """Ids of what is pending in ``state`` and ``rest`` up to its end: the same boundaries and cells, without making states."""
+        last, pending, living, cells = self._states[state]
+        ranks, begins, known, fits = self.ranks, self._begins, self._side_by_side, self._fits
+        text, ends = pending + rest, {x: c[:2] for x, c in cells.items()}
+        for n in range(len(pending) + 1, len(text) + 1):
+            alive, here = [], None
+            for p in living:
+                begun = text[p:n]
+                if here is None and (token := ranks.get(begun)) is not None:
+                    left = ends[p][0] if p else last
+                    can = known.get(left << 32 | token)
+                    if fits(left, token) if can is None else can:
+                        here = (token, p)
+                if begun in begins:
+                    alive.append(p)
+            if here is not None:
+                ends[n] = here
+                alive.append(n)
+            living = alive
+        at, out = len(text), []
+        while at:
+            token, at = ends[at]
+            out.append(token.to_bytes(4, "little"))
+        return b"".join(out[::-1])
+
     def encode(self, piece: bytes) -> bytes:
         state, out, moves = 0, [], self._moves
-        for byte in piece:
+        for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
+                if (key := state << 8 | byte) not in self._once:
+                    if len(self._once) >= _MET:
+                        self._once.clear()
+                    self._once.add(key)
+                    out.append(self._simulated(state, piece[at:]))
+                    return b"".join(out)
                 if len(self._states) >= MAX_STATES:
                     state = self._forget(state)
                     moves = self._moves
                 move = self._move(state, byte)
                 if move is None:
-                    self.fallbacks += 1
-                    return np.array(merge(piece, self.ranks), "<u4").tobytes()
+                    self.past += 1
+                    out.append(self._simulated(state, piece[at:]))
+                    return b"".join(out)
             state = move[0]
             if move[1]:
                 out.append(move[1])
