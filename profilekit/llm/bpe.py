@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 
 from profilekit.llm.common import Recent, hold, id_and_text, pieces
 
-LOOKAHEAD, MAX_STATES, BLOCK = 192, 200_000, 4096
+LOOKAHEAD, MAX_STATES, BLOCK = 192, 300_000, 4096
 #: Whole pre-tokens of which each half of the cache remembers the ids.
-_KNOWN = 150_000
+_KNOWN = 400_000
 #: Pairs of tokens of which it is remembered whether they may stand side by side.
 _PAIRS = 1 << 17
 #: Transitions of which it is remembered that they were met once.
