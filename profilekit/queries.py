@@ -166,9 +166,17 @@ def std_quantiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact("lineitem", list(_QF)).union(exact("orders", ["o_totalprice"]))
 
 
-@query()
+@query("\nUNION ALL ".join(f"SELECT '{f}' AS field, CAST({q} AS DOUBLE) AS probability, CAST(count({f}) AS BIGINT) AS n, true AS within FROM lineitem" for f in _QF for q in _Q))
 def std_quantiles_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(long(table(spark, sf_dir, "lineitem"), ("quantiles",), columns=_QF), "quantiles")
+    """Default accuracy: the ranks of each value, counted exactly, hold the probability within the promised error."""
+    d = table(spark, sf_dir, "lineitem")
+    points = _points(long(d, ("quantiles",), columns=_QF), "quantiles")
+    members = d.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in _QF])))
+    ranks = members.join(F.broadcast(points), "field").groupBy("field", "probability")  # a row a field and probability
+    counted = ranks.agg(F.count("x").alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    error = F.col("n") / CONFIG["metrics"]["quantile_accuracy"] + 1  # ranks; a rank is a whole number
+    within = (F.col("below") <= F.col("probability") * F.col("n") + error) & (F.col("upto") >= F.col("probability") * F.col("n") - error)
+    return counted.select("field", "probability", "n", within.alias("within"))
 
 
 _DISTINCT = {"lineitem": ("l_orderkey", "l_shipdate", "l_extendedprice", "l_returnflag"), "orders": ("o_custkey", "o_orderpriority"), "events": ("user_id", "value", "event_type")}
@@ -388,6 +396,31 @@ def schema_tree_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # deep level
 
+_KINDS = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE {array}({items}) END"
+_KIND_ITEMS = {
+    "b": "event_id % 2 = 0, CAST(NULL AS BOOLEAN), event_id % 5 = 0",
+    "t": "ts, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '1990-01-01 00:00:00' END",
+    "x": "value, CASE WHEN event_id % 3 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END",
+    "s": "event_type, CASE WHEN event_id % 4 = 0 THEN '  ' WHEN event_id % 4 = 1 THEN '' ELSE ' x' END",
+}
+_KIND_SQL = {
+    "b": {"element_count": "count(*)", "null_count": "count(*) FILTER (WHERE v IS NULL)", "true_count": "count(*) FILTER (WHERE v)", "false_count": "count(*) FILTER (WHERE NOT v)"},
+    "t": {"null_count": "count(*) FILTER (WHERE v IS NULL)", "after_reference_count": "count(*) FILTER (WHERE v > TIMESTAMP '1998-01-01 00:00:00')"},
+    "x": {"positive_infinity_count": "count(*) FILTER (WHERE v = CAST('Infinity' AS DOUBLE))", "negative_infinity_count": "count(*) FILTER (WHERE v = CAST('-Infinity' AS DOUBLE))", "nan_count": "count(*) FILTER (WHERE isnan(v))", "finite_count": "count(*) FILTER (WHERE isfinite(v))"},
+    "s": {"empty_count": "count(*) FILTER (WHERE v = '')", "whitespace_only_count": "count(*) FILTER (WHERE v <> '' AND trim(v) = '')", "min_length": "min(length(v))", "max_length": "max(length(v))"},
+}
+
+
+@query("\nUNION ALL ".join(stacked(f"(SELECT unnest({_KINDS.format(array='list_value', items=_KIND_ITEMS[f])}) AS v FROM events)", [(f"{f}[]", m, e) for m, e in ms.items()]) for f, ms in _KIND_SQL.items()))
+def deep_member_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that are booleans, instants, infinities and blank strings."""
+    d = table(spark, sf_dir, "events").selectExpr(*[f"{_KINDS.format(array='array', items=i)} AS {f}" for f, i in _KIND_ITEMS.items()])
+    wanted = tuple(dict.fromkeys(m for ms in _KIND_SQL.values() for m in ms))
+    found = values(long(d, (*wanted, "total_element_count", "null_count", "non_null_count"), deep=True).where("path like '%[]'"), *wanted)
+    asked = F.array(*[F.lit(f"{f}[] {m}") for f, ms in _KIND_SQL.items() for m in ms])
+    return found.where(F.array_contains(asked, F.concat_ws(" ", "field", "metric")))
+
+
 _MEMBERS = ("element_count", "null_count", "non_null_count", "min", "max", "zero_count", "negative_count", "positive_count", "finite_count", "nan_count")
 
 
@@ -704,14 +737,29 @@ def json_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.array(*cells).alias("all")).select(F.inline("all"))
 
 
+@query(
+    f"WITH d AS (SELECT {_NESTED_JSON} AS j FROM events), v AS (SELECT j FROM d WHERE json_valid(j)) SELECT '$' AS json_path, 'json_documents' AS metric, CAST(count(*) FILTER (WHERE json_type(j) IN ('OBJECT', 'ARRAY')) AS BIGINT) AS n FROM v UNION ALL "
+    + "\nUNION ALL ".join(f"SELECT '{p}', 'path_non_null_count', count(*) FILTER (WHERE json_type(j, '{p}') <> 'NULL') FROM v" for p, _ in _CHECKED)
+)
+def json_path_checks_without_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback for runtimes that have get_json_object alone."""
+    d = table(spark, sf_dir, "events").selectExpr(f"{_NESTED_JSON.replace('AS VARCHAR', 'AS STRING')} AS j")
+    specs = json_docs.path_checks(nodes_of(d)[1][0], [{"json_path": p, "dominant_type": t} for p, t in _CHECKED], "get_json_object")
+    cells = [F.struct(F.lit(s.detail.get("json_path", "$")).alias("json_path"), F.lit(s.metric.name).alias("metric"), F.expr(s.sql).alias("n")) for s in specs]
+    return d.agg(F.array(*cells).alias("all")).select(F.inline("all"))
+
+
 # judgements
 
 _JUDGED = {"lineitem": "l_orderkey l_linenumber l_quantity l_returnflag l_linestatus", "part": "p_partkey p_name p_size", "events": "event_id user_id event_type"}
 
 
+_ODD = {"c_custkey": "c_custkey", "none": "CASE WHEN c_custkey < 0 THEN 1 END", "sparse": "CASE WHEN c_custkey % 3 = 0 THEN c_custkey END", "seven": "7", "tail": "CASE WHEN c_custkey = 1 THEN 1000000 ELSE c_custkey % 10 END", "big": "sequence(1, CASE WHEN c_custkey = 1 THEN 1500 ELSE 1 END)"}
+
+
 def _judged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = [_with_exact_distinct(spark, sf_dir, t, f.split()) for t, f in _JUDGED.items()]
-    odd = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey < 0 THEN 1 END AS none", "CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS sparse", "7 AS seven", "CASE WHEN c_custkey = 1 THEN 1000000 ELSE c_custkey % 10 END AS tail", "sequence(1, CASE WHEN c_custkey = 1 THEN 1500 ELSE 1 END) AS big")
+    odd = table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {f}" for f, e in _ODD.items()])
     odd_metrics = long(odd, ("null_count", "all_values_equal", "min", "max", "quantiles", "max_size"), "odd", config=PRECISE)
     return union([*frames, odd_metrics])
 
@@ -726,14 +774,27 @@ def _finding_sql() -> str:
             out.append(f"SELECT '{t}.{f}', 'possible_constant', 'info' FROM {base} WHERE n >= 2 AND d = 1")
             if f not in ("l_returnflag", "l_linestatus", "p_name", "event_type"):
                 out.append(f"SELECT '{t}.{f}', 'extreme_numeric_tail', 'info' FROM (SELECT min({f}) AS a, max({f}) AS b, quantile_disc({f}, 0.25) AS q1, quantile_disc({f}, 0.75) AS q3 FROM {t}) WHERE q3 > q1 AND greatest((b - q3) / (q3 - q1), (q1 - a) / (q3 - q1)) > 10")
-    fixed = [("odd.none", "all_null", "warning"), ("odd.sparse", "high_null_ratio", "info"), ("odd.seven", "possible_constant", "info"), ("odd.tail", "extreme_numeric_tail", "info"), ("odd.big", "large_arrays", "warning")]
-    return "\nUNION ALL ".join([*out, _values_sql(fixed, "field, code, severity")])
+    limit = CONFIG["thresholds"]
+    for f in _ODD:
+        base = f"(SELECT count(*) AS r, count({f}) AS n, count(DISTINCT {f}) AS d FROM odd)"
+        out += [f"SELECT 'odd.{f}', 'all_null', 'warning' FROM {base} WHERE r > 0 AND n = 0", f"SELECT 'odd.{f}', 'high_null_ratio', 'info' FROM {base} WHERE n > 0 AND (r - n) / r >= {limit['high_null_ratio']}"]
+        if f == "big":
+            out.append(f"SELECT 'odd.big', 'large_arrays', 'warning' FROM odd HAVING max(len(big)) >= {limit['large_array_size']}")
+        else:
+            out.append(f"SELECT 'odd.{f}', 'possible_constant', 'info' FROM {base} WHERE n >= {limit['constant_min_rows']} AND d = 1")
+            out.append(f"SELECT 'odd.{f}', 'extreme_numeric_tail', 'info' FROM (SELECT min({f}) AS a, max({f}) AS b, quantile_disc({f}, 0.25) AS q1, quantile_disc({f}, 0.75) AS q3 FROM odd) WHERE q3 > q1 AND greatest((b - q3) / (q3 - q1), (q1 - a) / (q3 - q1)) > {limit['tail_iqr_multiplier']}")
+    for f, e in {"j": _NESTED_JSON, "props": "props"}.items():
+        out.append(f"SELECT 'texts.{f}', 'probable_json', 'info' FROM (SELECT {e} AS j FROM events) HAVING count(*) FILTER (WHERE json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) IN ('OBJECT', 'ARRAY')) / count(*) FILTER (WHERE trim(j) <> '') >= {limit['json_min_ratio']}")
+    odd = ", ".join(f"{e} AS {f}" for f, e in _ODD.items()).replace("sequence(", "generate_series(")
+    return f"WITH odd AS (SELECT {odd} FROM customer) " + "\nUNION ALL ".join(out)
 
 
 @query(_finding_sql())
 def judge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = judge.facts(_judged_metrics(spark, sf_dir))
-    found = judge.findings(facts, judge.roles(facts, CONFIG["thresholds"]), CONFIG["thresholds"])
+    texts = table(spark, sf_dir, "events").selectExpr(f"{_NESTED_JSON.replace('AS VARCHAR', 'AS STRING')} AS j", "props")
+    facts = judge.facts(_judged_metrics(spark, sf_dir).unionByName(long(texts, ("null_count",), "texts")))
+    shapes = json_docs.shape(_json_docs(spark, sf_dir)).withColumn("table", F.lit("texts"))
+    found = judge.findings(facts, judge.roles(facts, CONFIG["thresholds"]), CONFIG["thresholds"], shapes)
     return found.select(F.concat_ws(".", "table", "path").alias("field"), "code", "severity")
 
 
