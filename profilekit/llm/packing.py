@@ -34,8 +34,8 @@ from profilekit.llm.common import LONGEST_KEY, Recent, hold, id_and_text, materi
 CAPACITY, END, GROUPS, SMALL, NEAR = 2048, 0, 64, 3, 1e-4
 #: Fixed value: how the vocabulary marks a token that ends a pre-token.
 WORD_END = "</w>"
-#: Words of which each half of the cache remembers the ids: about 20 MB a half.
-KNOWN = 150_000
+#: Words of which each half of the cache remembers the ids: about 40 MB a half.
+KNOWN = 250_000
 #: Parts in which the pieces of one length are ranked: one for so many pieces up to ``SALTS`` parts, and one for every ``PART`` pieces at least.
 SPREAD, SALTS, PART = 128, 256, 1 << 20
 #: Characters on which lower-casing one by one, canonical composition and white space are plain, so that a text can be
