@@ -4,11 +4,13 @@ Order is by doc_id, then by start. Each window belongs to the smallest hash of t
 leftmost on ties), which equal windows share. Neighbouring windows with one anchor form a piece of under
 2 * ``WINDOW`` bytes. Pieces meet by anchor in buckets: of equal pieces the first keeps its bytes, and all others lose
 theirs. A task settles this among its own rows before the shuffle and sends one piece of each kind, so the copies of a
-frequent passage never meet in one place. Where an anchor has different pieces (where copies begin or end), one of
+frequent passage never meet in one place. Anchors with very many different pieces (``crowded``: a frequent line in varied
+surroundings) are split: each window of theirs is a piece, dealt by its own hash. Where another anchor has different pieces (where copies begin or end), one of
 each kind is fetched as text; windows without an equal in the bucket are dropped, and the rest are ordered by a suffix
 array (``suffixes``): neighbours with ``WINDOW`` bytes in common are equal windows, and all but the first go.
 
-Hashes only deal out the work, but for whole pieces, which count as equal if 108 bits agree.
+Hashes only deal out the work, but for whole pieces, which count as equal if 108 bits agree. Which anchors are split
+is read from a share of the rows; it says where windows meet, and whether they do so as pieces, but not what is removed.
 
 Defined cases: null text is empty; texts shorter than ``WINDOW`` lose nothing; rows without doc_id lose and cause
 nothing; rows that repeat a doc_id are read as one document (equal rows get equal results; otherwise all
@@ -31,13 +33,16 @@ from profilekit.llm.suffixes import suffix_array
 
 WINDOW, ANCHOR = 100, 32
 _CHUNK, _FLUSH, _BUCKET_BYTES = 1 << 19, 12 << 20, 4 << 20
+#: One in ``SHARE`` rows is read for crowded anchors; those with over ``CROWD`` kinds of pieces there count as such, if they
+#: also have over one in ``SPLIT`` of all kinds of such anchors, which bounds the list that every task gets.
+SHARE, CROWD, SPLIT = 16, 512, 1 << 20
 _SEED = np.dtype([("h", "<u8"), ("piece", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("dup", "u1")])
 
 
 def buckets_for(docs: DataFrame) -> int:
     """Buckets by the size of the input, so that one bucket's seeds stay in memory at any size."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(1 << 20, max(16, size // _BUCKET_BYTES))
+    return min(1 << 30, max(16, size // _BUCKET_BYTES))
 
 
 def _eight(a: np.ndarray) -> np.ndarray:
@@ -71,6 +76,50 @@ def seeds(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield m[first] >> np.uint64(20), first + base, np.diff(np.append(first, len(m)))
 
 
+def _rows(doc: int, text: bytes) -> Iterator[np.ndarray]:
+    digest = xxhash.xxh3_64_intdigest
+    for h, first, n in seeds(text):
+        rows = np.zeros(len(h), _SEED)
+        rows["h"], rows["doc"], rows["start"], rows["n"] = h, doc, first, n
+        rows["piece"] = [digest(text[a:b]) for a, b in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), strict=True)]
+        yield rows
+
+
+def crowded(docs: DataFrame) -> np.ndarray:
+    """Sorted anchors that are split, fewer than ``SPLIT``: a share of the rows that grows with the table is read, so that
+    of any other anchor about ``SHARE`` * ``CROWD`` kinds of pieces meet, or one in ``SPLIT`` of those that are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            found = [rows for text in texts_as_bytes(batch) for rows in _rows(0, text or b"")]
+            if found:
+                kinds = np.unique(np.concatenate(found)[["h", "piece"]])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[c].astype(np.int64)) for c in ("h", "piece")], ["h", "piece"])
+
+    share = id_and_text(docs).where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
+    kinds = share.mapInArrow(run, "h long, piece long").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    many = materialize(kinds.where(F.col("n") > CROWD))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    return np.sort(many.where(F.col("n") > total / SPLIT).select("h").toArrow()["h"].to_numpy()).view(np.uint64)
+
+
+def split(rows: np.ndarray, text: bytes, anchors: np.ndarray) -> np.ndarray:
+    """``rows`` of one text, with each window of an anchor in ``anchors`` as a piece under a hash of its own."""
+    if not len(anchors):
+        return rows
+    hot = anchors[np.minimum(np.searchsorted(anchors, rows["h"]), len(anchors) - 1)] == rows["h"]
+    if not hot.any():
+        return rows
+    apart = np.repeat(rows[hot], rows["n"][hot])
+    which = np.repeat(np.cumsum(rows["n"][hot], dtype=np.int64) - rows["n"][hot], rows["n"][hot])
+    apart["start"] += (np.arange(len(apart)) - which).astype(np.int32)
+    apart["n"] = 1
+    windows = [text[a : a + WINDOW] for a in apart["start"].tolist()]
+    apart["h"] = [xxhash.xxh3_64_intdigest(w, 1) for w in windows]
+    apart["piece"] = [xxhash.xxh3_64_intdigest(w) for w in windows]
+    return np.concatenate([rows[~hot], apart])
+
+
 def _settle(rows: np.ndarray) -> np.ndarray:
     """Sorted by anchor, piece and place, with all but the first of each piece marked; a place that is read twice counts once."""
     rows = rows[np.lexsort((rows["start"], rows["doc"], rows["piece"], rows["h"]))]
@@ -81,7 +130,7 @@ def _settle(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, anchors: np.ndarray) -> DataFrame:
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = _settle(np.concatenate(held))
         lot = np.where(rows["dup"] == 1, mix64(rows["doc"].view(np.uint64)), mix64(rows["h"])) % np.uint64(buckets)
@@ -92,16 +141,13 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(lot[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, digest = [], 0, xxhash.xxh3_64_intdigest
+        held, total = [], 0
         for batch in pieces(batches, 256):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch), strict=True):
                 if text is None or len(text) < WINDOW:
                     continue
-                for h, first, n in seeds(text):
-                    rows = np.zeros(len(h), _SEED)
-                    rows["h"], rows["doc"], rows["start"], rows["n"] = h, doc, first, n
-                    rows["piece"] = [digest(text[a:b]) for a, b in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), strict=True)]
-                    held.append(rows)
+                for rows in _rows(doc, text):
+                    held.append(split(rows, text, anchors))
                 total += len(text)
                 if total >= _FLUSH:
                     yield flush(held)
@@ -228,7 +274,7 @@ def _order(table: pa.Table) -> pa.Table:
 def intervals(docs: DataFrame) -> DataFrame:
     """doc_id, first, end of byte ranges to be removed; they may overlap."""
     buckets = buckets_for(docs)
-    met = materialize(_deal(docs, buckets).groupBy("bucket").applyInArrow(_meet, "doc_id long, h long, first long, n int"))
+    met = materialize(_deal(docs, buckets, crowded(docs)).groupBy("bucket").applyInArrow(_meet, "doc_id long, h long, first long, n int"))
     copies = met.where("h is null").select("doc_id", "first", (F.col("first") + F.col("n") + (WINDOW - 1)).alias("end"))
     parts = _fetch(met.where("h is not null"), docs, buckets)
     return copies.union(parts.groupBy("bucket").applyInArrow(_order, "doc_id long, first long, end long"))

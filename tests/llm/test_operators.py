@@ -55,7 +55,11 @@ def test_suffix_array_is_sorted():
         assert suffixes.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-def test_op1_against_all_windows(spark, corpus):
+@pytest.mark.parametrize("crowd", [512, 1, 0])
+def test_op1_against_all_windows(spark, corpus, monkeypatch, crowd):
+    if crowd < 512:
+        monkeypatch.setattr(exact_substrings, "CROWD", crowd)
+        monkeypatch.setattr(exact_substrings, "SHARE", 1)
     seen, want, w = {}, {}, exact_substrings.WINDOW
     for doc, text in sorted({(d, t) for d, t in corpus if d is not None and t}, key=lambda x: x[0]):
         data = text.encode()
@@ -77,6 +81,33 @@ def test_op1_against_all_windows(spark, corpus):
     assert exact_substrings.op1(empty(spark)).count() == 0
 
 
+def test_op1_a_frequent_line_in_varied_surroundings_is_split(spark, monkeypatch):
+    rng = random.Random(12)
+    line = words(rng, 16)[:72]
+    texts = [words(rng, 18) + line + words(rng, 18) for _ in range(1500)]
+    texts[700] = texts[20][:60] + texts[30][60:]
+    docs = table(spark, enumerate(texts))
+    monkeypatch.setattr(exact_substrings, "SHARE", 2)
+    anchors = exact_substrings.crowded(docs)
+    assert 0 < len(anchors) < 20
+    most = {}
+    for k, t in enumerate(texts):
+        data = t.encode()
+        for rows in exact_substrings._rows(k, data):
+            for h in exact_substrings.split(rows, data, anchors)["h"].tolist():
+                most[h] = most.get(h, 0) + 1
+    assert max(most.values()) <= 2 * 512
+    got = {r["doc_id"]: r["n_removed"] for r in exact_substrings.op1(docs).collect()}
+    seen = {}
+    for k, t in enumerate(texts):
+        data, gone = t.encode(), set()
+        for i in range(len(data) - 99):
+            if seen.setdefault(data[i : i + 100], (k, i)) != (k, i):
+                gone.update(range(i, i + 100))
+        assert got[k] == len(gone)
+    assert got[700] > 0
+
+
 def test_op1_seeds_cover_every_window_over_chunks(monkeypatch):
     monkeypatch.setattr(exact_substrings, "_CHUNK", 300)
     rng = random.Random(2)
