@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SUB_BATCH, SUB_BYTES = 1024, 2 << 20
 #: Entries of each half of a cache, and the longest key that is kept: about 20 MB a cache with keys and values of usual size.
 CACHED, LONGEST_KEY = 50_000, 48
+#: Bytes of one Arrow batch between the JVM and a Python worker; one row may have more. Both sides hold such batches whole.
+BATCH_BYTES = 4 << 20
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -107,14 +109,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def in_bytes(setting: str) -> int:
+    """Of a setting such as 262144, 256k or 64MB."""
+    number = setting.strip().lower().removesuffix("b")
+    power = "bkmgtp".find(number[-1:])
+    return int(number[:-1] if power > 0 else number) << 10 * max(power, 0)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    The result is compact, can be pruned by column, and does not depend on the executors that made it.
+    The result is compact, can be pruned by column, and does not depend on the executors that made it. While it is written,
+    Arrow batches have at most ``BATCH_BYTES``, or what the session sets where that is less.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/profilekit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = f"{shared_dir(spark)}/profilekit-{uuid.uuid4().hex}", spark.conf.get(size)
+    spark.conf.set(size, str(min(in_bytes(before), BATCH_BYTES)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -46,7 +46,7 @@ _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ſ–—‘-”…]")
 class WordTokens:
     """Packed ids of texts, word by word where that gives the library's ids; words used of late are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -54,7 +54,7 @@ class WordTokens:
         vocabulary = self.library.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self._words = Recent(self._word, KNOWN)
+        self._words = Recent(self._word, known)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -92,21 +92,21 @@ class WordTokens:
         self._words.clear()
 
 
-_LOADED: dict[str, WordTokens] = {}
+_LOADED: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, known: int = KNOWN) -> WordTokens:
     hold("packing", _LOADED.clear)
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    if (path, known) not in _LOADED:
+        _LOADED[path, known] = WordTokens(path, known)
+    return _LOADED[path, known]
 
 
-def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, known: int = KNOWN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = word_tokens(path), np.array([END], "<u4").tobytes()
+        words, last = word_tokens(path, known), np.array([END], "<u4").tobytes()
         for batch in pieces(batches, 512):
             at, starts, lengths, crcs = [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
@@ -271,9 +271,10 @@ class Plan:
         self._keep(room, first + take, count - take)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, known: int = KNOWN) -> DataFrame:
+    """The pieces of ``docs`` and their places; ``known`` words have their ids remembered, which costs memory and saves time."""
     spread = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("spread")  # written, so that it stays as it is
-    cuts = materialize(cut(docs, path, capacity).select("*", spread))
+    cuts = materialize(cut(docs, path, capacity, known).select("*", spread))
     counted, sizes = cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow(), np.zeros(capacity + 1, np.int64)  # at most capacity rows
     sizes[counted["length"].to_numpy()] = counted["n"].to_numpy()
     parts = np.maximum(np.minimum(-(-sizes // SPREAD), SALTS), -(-sizes // PART))
