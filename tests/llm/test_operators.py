@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from profilekit.llm import bpe, chaining, cross_polytope, exact_substrings, licenses, near_copies, ngram_ratio, packing, simhash, suffixes, toxicity, weak_labels
+from profilekit.llm import bpe, chaining, common, cross_polytope, exact_substrings, licenses, near_copies, ngram_ratio, packing, simhash, suffixes, toxicity, weak_labels
 
 tiktoken = pytest.importorskip("tiktoken")
 tokens = pytest.importorskip("public_tokenizers")
@@ -735,3 +735,18 @@ def test_pipeline_runs_on_a_small_table(spark, tmp_path, corpus):
         assert after.columns == docs.columns, name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and set(out[0].asDict()) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_written_tables_bound_arrow_batches_and_leave_the_session_as_it_was(spark):
+    assert [common.in_bytes(x) for x in ("67108864b", "64MB", "256k", "2147483647", "1b")] == [67108864, 67108864, 262144, 2147483647, 1]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select([]).from_arrays([np.array([batch.nbytes])], ["size"])
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("repeat(cast(id % 10 as string), 50000) as text")
+    got = [r["size"] for r in common.materialize(rows.mapInArrow(sizes, "size long")).collect()]
+    assert len(got) > 3 and max(got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(name) == before
