@@ -6,10 +6,10 @@ with every name of ``NAMED``, sentences and windows of ``BODIES``, and on ordina
 ``HELD_ORDINARY`` are kept from training and set the temperature, so that probabilities mean what they say on texts not seen. Weights are whole
 numbers (``SCALE`` to one), so that sums do not depend on order. The model has a fixed size.
 
-On the main path, paragraphs (lines up to a blank one) of documents that hold an anchor (a stem such as
-"licens" without which no notice is made) are scored: the whole paragraph if it has at most ``WHOLE`` words, and
-overlapping windows of it (``WINDOWS``: words, step) that hold an anchor, so that a notice inside prose counts however long the
-paragraph is. Their n-grams are joined to the table of weights, which is broadcast (a few thousand rows); sums give
+On the main path, all paragraphs (lines up to a blank one) are scored: the whole paragraph if it has at most ``WHOLE`` words, and
+overlapping windows of it (``WINDOWS``: words, step), so that a notice inside prose counts however long the
+paragraph is. Those whose bigrams cannot meet the template comparison below for any family are left out first, which
+changes no result. Their n-grams are joined to the table of weights, which is broadcast (a few thousand rows); sums give
 logits, logits give probabilities. One counts if a family is likelier than unknown, its probability is at least ``SURE``, and
 the template comparison (``TEMPLATES``) confirms it: at least ``OVERLAP`` of its bigrams are in notices of that
 family, and, in a window, one of these with a licence's name (``NAMES``) or ``BODY`` of them. The widest that is confirmed
@@ -35,6 +35,7 @@ SURE, OVERLAP, BODY, WHOLE, SCALE = 0.6, 0.45, 8, 120, 256
 WINDOWS = ((4, 1), (6, 2), (10, 3), (16, 5), (30, 10))
 # Stems of notices, words of licences' names, names, and public notices.
 NAMES = frozenset("apache mit gnu gpl gplv2 gplv3 lgpl agpl agplv3 affero lesser mozilla mpl bsd isc cc cc0 creative commons spdx reserved proprietary".split())
+#: Stems that ``oracle`` asks for; the operator does not.
 ANCHORS = ("licen", "copyright", "warrant", "redistribut", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "gpl", "spdx", "permission", "proprietary")
 NAMED: dict[str, tuple[str, ...]] = {
     "AGPL": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL", "AGPLv3", "AGPL-3.0-only"),
@@ -236,32 +237,48 @@ def named_bits(bits: dict[str, int]) -> dict[str, int]:
     return {g: b if NAMES.intersection(g.split()) else 0 for g, b in bits.items()}
 
 
-def _has_anchor(text: Column) -> Column:
-    out = F.lit(False)
-    for a in ANCHORS:
-        out = out | F.contains(text, F.lit(a))
-    return out
-
-
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, para, width (0: the whole paragraph), part, words: paragraphs with an anchor and their windows with one;
-    rows that repeat a doc_id and text count once."""
+    """doc_id, text_hash, para, width (0: the whole paragraph), part, words: those paragraphs and windows that ``scan`` could
+    confirm for any family by their bigrams; rows that repeat a doc_id and text count once."""
+    bits = model()[3]
+    named, others = [g for g, b in named_bits(bits).items() if b], [g for g, b in named_bits(bits).items() if not b]
+    unit, name = F.lit(1).cast("long"), 1 << 32  # of a sum of marks: bigrams of templates, and those of them with a name
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts = rows.where(_has_anchor(F.lower("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n[ \t\r\n]*\n")).alias("para", "content"))
-    parts = parts.where(_has_anchor(F.lower("content"))).dropDuplicates(["doc_id", "text_hash", "para"])
+    parts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n[ \t\r\n]*\n")).alias("para", "content"))
     words = F.filter(F.transform(F.split(F.translate("content", *_LOWER), "[^a-z0-9.]+"), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
-    parts = parts.select("doc_id", "text_hash", "para", words.alias("words")).where(F.size("words") > 0)
+    key = ["doc_id", "text_hash", "para"]
+
+    def once(frame: DataFrame, value: Column, name: str) -> DataFrame:
+        """With a column that later filters do not compute again, as they would that of a projection."""
+        return frame.select(*[c for c in frame.columns if c != "content"], F.explode(F.array(F.struct(value.alias(name)))).alias("x")).select("*", f"x.{name}").drop("x")
+
+    def enough(total: Column, pairs: Column, whole: bool) -> Column:
+        count = total % name
+        share = count / F.greatest(pairs, F.lit(1)) >= OVERLAP
+        return share if whole else share & ((total >= name) | (count >= BODY))
+
+    def summed(marks: Column) -> Column:
+        return F.aggregate(marks, F.lit(0).cast("long"), lambda a, v: a + v)
+
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    marks = F.transform(pairs, lambda g: F.when(g.isin(named), unit + name).when(g.isin(others), unit).otherwise(0))
+    parts = once(once(parts, words, "words").where(F.size("words") > 1), marks, "marks")
+    parts = once(parts, summed(F.col("marks")), "total")
+    small = (F.size("words") <= WHOLE) & enough(F.col("total"), F.size("marks"), True)
+    parts = parts.where(small | (F.col("total") >= name) | (F.col("total") >= BODY))
 
     def cut(width: int, step: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + step, F.lit(1)), F.lit(step))
+        inside = lambda i: F.slice("marks", i, width - 1)
+        starts = F.filter(starts, lambda i: enough(summed(inside(i)), F.size(inside(i)), False))
         parts = F.transform(starts, lambda i: F.struct(F.lit(width).alias("width"), i.alias("part"), F.slice("words", i, width).alias("words")))
-        parts = F.filter(parts, lambda x: _has_anchor(F.concat(F.array_join(x["words"], " "), F.lit(" "))))
-        return F.when(F.size("words") > width, parts)
+        return F.when((F.size("words") > width) & ((F.col("total") >= name) | F.lit(width > BODY)), parts)
 
     whole = F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("part"), F.col("words")))
     none = F.slice(whole, 1, 0)
-    cuts = F.concat(F.when(F.size("words") <= WHOLE, whole).otherwise(none), *[F.coalesce(cut(*w), none) for w in WINDOWS])
-    return parts.select("doc_id", "text_hash", "para", F.explode(cuts).alias("x")).select("doc_id", "text_hash", "para", "x.width", "x.part", "x.words")
+    cuts = F.concat(F.when(small, whole).otherwise(none), *[F.coalesce(cut(*w), none) for w in WINDOWS])
+    parts = parts.select(*key, F.explode(cuts).alias("x")).select(*key, "x.width", "x.part", "x.words")
+    return parts.dropDuplicates([*key, "width", "part"])
 
 
 def classify(docs: DataFrame) -> DataFrame:

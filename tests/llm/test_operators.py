@@ -724,6 +724,45 @@ def test_op10_notices_inside_prose(spark):
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+def test_op10_scores_every_paragraph_and_window(spark):
+    """Notices without any stem of ``ANCHORS``, or with one across two lines, against every window scored in plain Python."""
+    classes, weights, bias, bits = licenses.model()
+    named = licenses.named_bits(bits)
+
+    def scored(text):
+        z, grams = np.array(bias, float), set(licenses.grams_of(text)) & weights.keys()
+        for g in grams:
+            z += weights[g]
+        k, p = int(z.argmax()), 1 / np.exp((z - z.max()) / licenses.SCALE).sum()
+        count = lambda table: sum(table.get(g, 0) >> k & 1 for g in grams)
+        return classes[k], p, min(1, count(bits) / max(1, len(text) - 1)), count(named), count(bits)
+
+    def of_text(text):
+        best = []
+        for para in re.split("\n[ \t\r\n]*\n", text):
+            words, found = licenses.words_of(para), []
+            parts = [(0, words)] if 0 < len(words) <= licenses.WHOLE else []
+            parts += [(w, words[a : a + w]) for w, step in licenses.WINDOWS if len(words) > w for a in range(0, max(len(words) - w + step, 1), step)]
+            for width, x in parts:
+                family, p, overlap, name, shared = scored(x)
+                if family != "unknown" and p >= licenses.SURE and overlap >= licenses.OVERLAP and (not width or name or shared >= licenses.BODY):
+                    found.append((-(width or 1 << 30), -round(p, 6), family))
+            if found:
+                best.append(min(found)[1:])
+        return (min(best)[1], len(best)) if best else (None, 0)
+
+    rng = random.Random(21)
+    common = [g for t in licenses.ORDINARY for g in licenses.words_of(t)]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    plain = ["Released under the MIT.", "Released under the MPL-2.0.", "Released under the Apache-2.0.", "Distributed under the BSD-3-Clause; see the file for details.", "Released under the ISC."]
+    plain += ["All rights\nreserved.", "Dedicated to the public\ndomain. Released into the public\ndomain by the author.", "This work is under the CC\nBY 4.0", "including without limitation the rights to use, copy, modify, merge, publish, distribute, and/or sell copies of the Software"]
+    texts = plain + [f"{prose(60)} {t} {prose(90)}" for t in plain] + [f"{prose(9)}\n\n{t}\n\nReleased under the MIT." for t in plain]
+    texts += [t[: rng.randint(5, len(t))] for family in licenses.TEMPLATES.values() for t in family[::9]] + [prose(n) for n in (1, 2, 3, 5, 119, 120, 121, 400)]
+    rows, want = list(enumerate(texts)), {k: of_text(t) for k, t in enumerate(texts)}
+    assert [want[k][0] for k in range(9)] == ["MIT", "MPL-2.0", "Apache-2.0", "BSD", "ISC", "proprietary", "CC0", "CC-BY", "MIT"]
+    assert {r["doc_id"]: (r["family"], r["n_paragraphs"]) for r in licenses.op10(table(spark, rows)).collect()} == want
+
+
 def test_pipeline_runs_on_a_small_table(spark, tmp_path, corpus):
     import corpus_pipeline
 
