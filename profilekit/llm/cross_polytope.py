@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-``TABLES`` pseudo-random rotations (three rounds of random signs and a fast Hadamard transform) take each unit vector to
-the nearest of the signed axes, its cell. Every vector lies in one cell of each table. A query looks into the
-``PROBES`` cells of each table whose axes are nearest to it; all vectors found there are ranked by the exact Euclidean
-distance of the original vectors. Where these cells would hold over ``DENSE`` vectors each, a cell is the nearest axes of two
-rotations at once (``shape``), so that there are as many cells as pairs of axes; the pairs of greatest sum are probed then,
-and tables and probes are more (``FINE``). Cells are dealt out in salted blocks of about ``BLOCK`` rows by their counted
+Each of ``TABLES`` tables has two pseudo-random rotations (three rounds of random signs and a fast Hadamard transform); the
+nearest of the signed axes in both are a unit vector's cell. Every vector lies in one cell of each table. A query looks into the
+``PROBES`` cells of each table whose pairs of axes have the greatest sum; all vectors found there are ranked by the exact Euclidean
+distance of the original vectors. Tables, cells and probes are the same for every number of vectors. Cells travel by themselves, or,
+where they would hold under ``DENSE`` vectors over the axes each, all cells of one first axis together (``together``), of which a query still sees
+those that it looks into alone. They are dealt out in salted blocks of about ``BLOCK`` rows by their counted
 sizes, so a cell full of one vector is no single task's work; a block returns each query's nearest ``K`` alone. Queries that
 found fewer than ``K`` look into every cell of the first table, which is exact.
 
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from profilekit.llm.common import materialize, pieces
 
-TABLES, PROBES, K, EVERY, BLOCK, ROUNDS, SEED = 12, 8, 10, 100, 2048, 3, 20240501
-#: Vectors a cell from which on a second rotation is used, and tables and probes then.
-DENSE, FINE = 4096, (32, 96)
+TABLES, PROBES, K, EVERY, BLOCK, ROUNDS, SEED = 32, 256, 10, 100, 2048, 3, 20240501
+#: Vectors of a first axis from which on its cells travel apart; results do not depend on it.
+DENSE = 4096
+#: Numbers of a table of differences.
+NUMBERS = 1 << 20
 #: Cells whose sizes are broadcast; more are joined by shuffle.
 BOUND = 1 << 17
 
@@ -59,28 +61,24 @@ def rotations(vectors: np.ndarray, tables: int = TABLES) -> Iterator[np.ndarray]
         yield np.concatenate([y, -y], axis=1)
 
 
-def shape(count: int, dimensions: int) -> tuple[int, int, int]:
-    """Tables, probes, and signed axes of the second rotation (0: none) for so many vectors."""
-    axes = 2 << max(1, (dimensions - 1).bit_length())
-    if count <= DENSE * axes:
-        return TABLES, PROBES, 0
-    return *FINE, axes
+def signed_axes(dimensions: int) -> int:
+    return 2 << max(1, (dimensions - 1).bit_length())
 
 
-def cells(vectors: np.ndarray, tables: int, second: int, probes: int) -> Iterator[np.ndarray]:
+def together(count: int, axes: int) -> int:
+    """How many neighbouring cells of a table travel together: those of one first axis, or one."""
+    return axes if count <= DENSE * axes else 1
+
+
+def cells(vectors: np.ndarray, probes: int, tables: int = TABLES) -> Iterator[np.ndarray]:
     """For each table the ``probes`` best cells of each vector, best first."""
-    if not second:
-        for axes in rotations(vectors, tables):
-            yield np.argsort(-axes, axis=1, kind="stable")[:, :probes]
-        return
-    both = rotations(vectors, 2 * tables)
+    both, axes = rotations(vectors, 2 * tables), signed_axes(vectors.shape[1])
     for first in both:
-        half = next(both)[:, : first.shape[1] // 2]
-        other = np.concatenate([half[:, : second // 2], -half[:, : second // 2]], axis=1)
+        other = next(both)
         a, b = (np.argsort(-x, axis=1, kind="stable")[:, :probes] for x in (first, other))
         total = np.take_along_axis(first, a, 1)[:, :, None] + np.take_along_axis(other, b, 1)[:, None]
         best = np.argsort(-total.reshape(len(first), -1), axis=1, kind="stable")[:, :probes]
-        yield np.take_along_axis(a, best // b.shape[1], 1) * second + np.take_along_axis(b, best % b.shape[1], 1)
+        yield np.take_along_axis(a, best // b.shape[1], 1) * axes + np.take_along_axis(b, best % b.shape[1], 1)
 
 
 def packing(vectors: DataFrame) -> str:
@@ -111,56 +109,79 @@ def _unpack(column: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype).astype(np.float64).reshape(len(column), -1)
 
 
-def index(vectors: DataFrame, dtype: str, tables: int = TABLES, second: int = 0) -> DataFrame:
+def index(vectors: DataFrame, dtype: str, width: int = 1) -> DataFrame:
+    """Each vector's cell in each table; ``part`` is what travels together, ``width`` cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4096):
             if batch.num_rows:
-                for t, best in enumerate(cells(_unpack(batch.column("vec").to_pylist(), dtype), tables, second, 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(best[:, 0].astype(np.int32)), batch.column("vec_id"), batch.column("vec")], ["t", "cell", "vec_id", "vec"])
+                for t, best in enumerate(cells(_unpack(batch.column("vec").to_pylist(), dtype), 1)):
+                    columns = [np.full(batch.num_rows, t), best[:, 0] // width, best[:, 0]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), batch.column("vec_id"), batch.column("vec")], ["t", "part", "cell", "vec_id", "vec"])
 
-    return vectors.mapInArrow(run, "t int, cell int, vec_id long, vec binary")
+    return vectors.mapInArrow(run, "t int, part int, cell int, vec_id long, vec binary")
 
 
-def probes(queries: DataFrame, dtype: str, tables: int = TABLES, second: int = 0, looks: int = PROBES) -> DataFrame:
+def probes(queries: DataFrame, dtype: str, width: int = 1, looks: int = PROBES) -> DataFrame:
+    """A row for each query, table and part that holds cells it looks into, with these cells as 32-bit integers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1024):
+        for batch in pieces(batches, 64):
             if batch.num_rows:
-                for t, best in enumerate(cells(_unpack(batch.column("vec").to_pylist(), dtype), tables, second, looks)):
-                    for nth in best.T:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(nth.astype(np.int32)), batch.column("vec_id"), batch.column("vec")], ["t", "cell", "query_id", "qvec"])
-
-    return queries.mapInArrow(run, "t int, cell int, query_id long, qvec binary")
+                for t, best in enumerate(cells(_unpack(batch.column("vec").to_pylist(), dtype), looks)):
+                    best = np.sort(best, axis=1)
+                    part, row = (best // width).ravel(), np.repeat(np.arange(len(best)), best.shape[1])
+                    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
+                    asked = [x.tobytes() for x in np.split(best.ravel().astype(np.int32), starts[1:])]
+                    of = pa.array(row[starts])
+                    columns = [np.full(len(starts), t), part[starts]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(asked, pa.binary()), batch.column("vec_id").take(of), batch.column("vec").take(of)], ["t", "part", "cells", "query_id", "qvec"])
+
+    return queries.mapInArrow(run, "t int, part int, cells binary, query_id long, qvec binary")
+
+
+def _seen(asked: list[bytes], of_block: np.ndarray) -> np.ndarray:
+    """For each query and vector of a block whether the query looks into the vector's cell; no cells are all cells."""
+    known, at = np.unique(of_block, return_inverse=True)
+    wanted, row = np.frombuffer(b"".join(asked), np.int32), np.repeat(np.arange(len(asked)), [len(x) // 4 for x in asked])
+    place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    there = known[place] == wanted
+    seen = np.zeros((len(asked), len(known)), bool)
+    seen[row[there], place[there]] = True
+    seen[[not x for x in asked]] = True
+    return seen[:, at]
 
 
 def _nearest(queries: pd.DataFrame, block: pd.DataFrame, k: int, dtype: str) -> pd.DataFrame:
-    q_out, v_out, s_out = [], [], []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if len(queries) and len(block):
-        ids, x = block["vec_id"].to_numpy(), _unpack(block["vec"].tolist(), dtype)
-        norms = (x * x).sum(axis=1)
-        enough = k * int(np.unique(ids, return_counts=True)[1].max())  # an id may have several vectors
+        ids, x, of_block = block["vec_id"].to_numpy(), _unpack(block["vec"].tolist(), dtype), block["cell"].to_numpy()
+        norms, (known, of_id, times) = (x * x).sum(axis=1), np.unique(ids, return_inverse=True, return_counts=True)
+        enough = k * int(times.max())  # an id may have several vectors
         for at in range(0, len(queries), 256):
             part = queries.iloc[at : at + 256]
-            q = _unpack(part["qvec"].tolist(), dtype)
+            q, own = _unpack(part["qvec"].tolist(), dtype), part["query_id"].to_numpy()
             near = norms[None] - 2 * (q @ x.T)
-            for qid, row, d in zip(part["query_id"], q, near, strict=True):
-                d[ids == qid] = np.inf
-                limit = np.partition(d, enough - 1)[enough - 1] if len(d) > enough else np.inf
-                some = np.flatnonzero((d <= limit + 1e-9 * (1 + abs(limit) + (row * row).sum())) & np.isfinite(d)) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d))
-                exact = np.sqrt(((x[some] - row) ** 2).sum(axis=1))
-                best = np.lexsort((ids[some], exact))
-                best = best[np.sort(np.unique(ids[some][best], return_index=True)[1])[:k]]
-                q_out += [qid] * len(best)
-                v_out += ids[some][best].tolist()
-                s_out += exact[best].tolist()
-    return pd.DataFrame({"query_id": pd.Series(q_out, dtype="int64"), "vec_id": pd.Series(v_out, dtype="int64"), "score": pd.Series(s_out, dtype="float64")})
+            near[(ids[None] == own[:, None]) | ~_seen(part["cells"].tolist(), of_block)] = np.inf
+            limit = np.partition(near, enough - 1, axis=1)[:, enough - 1] if len(x) > enough else np.full(len(q), np.inf)
+            a, b = np.nonzero((near <= (limit + 1e-9 * (1 + np.abs(limit) + (q * q).sum(axis=1)))[:, None]) & np.isfinite(near))
+            size = max(1, NUMBERS // x.shape[1])
+            exact = np.concatenate([np.zeros(0), *[np.sqrt(((x[b[i : i + size]] - q[a[i : i + size]]) ** 2).sum(axis=1)) for i in range(0, len(a), size)]])
+            order = np.lexsort((ids[b], exact, a))
+            order = order[np.sort(np.unique(a[order] * len(known) + of_id[b[order]], return_index=True)[1])]
+            rank = np.arange(len(order)) - np.searchsorted(a[order], a[order])
+            order = order[rank < k]
+            out.append((own[a[order]], ids[b[order]], exact[order]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
 
 def _search(cells_: DataFrame, looks: DataFrame, sizes: DataFrame, k: int, dtype: str) -> DataFrame:
     """The nearest ``k`` of each query in each block of the cells it looks into."""
     parts = F.broadcast(sizes) if sizes.count() <= BOUND else sizes  # at most BOUND rows of three numbers
-    blocks = cells_.join(parts, ["t", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), F.col("salts")).cast("int")).drop("salts")
-    asked = looks.join(parts, ["t", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).drop("salts")
-    by = ("t", "cell", "salt")
+    blocks = cells_.join(parts, ["t", "part"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), F.col("salts")).cast("int")).drop("salts")
+    asked = looks.join(parts, ["t", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).drop("salts")
+    by = ("t", "part", "salt")
     return asked.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(lambda q, b: _nearest(q, b, k, dtype), "query_id long, vec_id long, score double")
 
 
@@ -173,15 +194,17 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose ``vec_id`` is divisible by ``every``."""
     dtype, rows = packing(vectors), materialize(usable(vectors).dropDuplicates(["vec_id", "vec"]))
     count, width = rows.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()
-    tables, looks, second = shape(count, (width or 8) // np.dtype(dtype).itemsize)
+    width = together(count, signed_axes((width or 8) // np.dtype(dtype).itemsize))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    dealt = index(rows, dtype, tables, second)
-    counts = materialize(dealt.groupBy("t", "cell").count())
-    sizes = counts.select("t", "cell", F.ceil(F.col("count") / BLOCK).cast("long").alias("salts"))
-    found = materialize(_top(_search(dealt, probes(queries, dtype, tables, second, looks), sizes, k, dtype), k))
+    dealt = index(rows, dtype, width)
+    counts = materialize(dealt.groupBy("t", "part").count())
+    sizes = counts.select("t", "part", F.ceil(F.col("count") / BLOCK).cast("long").alias("salts"))
+    found = materialize(_top(_search(dealt, probes(queries, dtype, width), sizes, k, dtype), k))
     short = queries.join(found.where(F.col("rank") == k), queries["vec_id"] == found["query_id"], "left_anti")
     if not short.isEmpty():
-        more = _search(dealt.where("t = 0"), probes(short, dtype, 1, second, 1 << 30), sizes, k, dtype)
+        every_cell = short.select(F.lit(b"").alias("cells"), F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+        every_cell = every_cell.crossJoin(sizes.where("t = 0").select("t", "part"))
+        more = _search(dealt.where("t = 0"), every_cell, sizes, k, dtype)
         found = materialize(_top(found.select("query_id", "vec_id", "score").union(more), k))
     return found.select("query_id", "rank", "vec_id", "score")
 
