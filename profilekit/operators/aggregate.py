@@ -8,6 +8,7 @@ scope, accuracy, source and denominator.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Sequence
 from typing import Any
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.encoding import safe_message
+from profilekit.operators import quantiles
 from profilekit.plans import registry
 from profilekit.plans.measure import MeasurePlan, Spec, owner_of
 from profilekit.plans.registry import Metric
@@ -54,7 +56,14 @@ def isolate(df: DataFrame, specs: Sequence[Spec]) -> dict[str, str]:
 
 
 def pass_frame(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    return df.selectExpr(*[f"{s.sql} AS {s.alias}" for s in specs])
+    """One row; lazy but for quantiles by exact ranks, whose jobs run now."""
+    ranked = [s for s in specs if s.ranked]
+    out = df.selectExpr(*[f"{s.sql} AS {s.alias}" for s in specs if not s.ranked]) if len(ranked) < len(specs) else df.sparkSession.range(1).select()
+    if not ranked:
+        return out
+    probabilities = [float(p) for p in re.findall(r"[^,(]+(?=D[,)])", _probabilities(ranked[0]))]  # the same for all of a run
+    found = quantiles.least_values(df, {s.alias: s.ranked for s in ranked}, probabilities)
+    return out.select("*", *[found[s.alias].alias(s.alias) for s in ranked])
 
 
 def wide(df: DataFrame, plan: MeasurePlan) -> DataFrame:

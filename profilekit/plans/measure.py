@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from profilekit.operators.quantiles import SUMMARISED
 from profilekit.plans import budget, registry
 from profilekit.plans.registry import Metric
 from profilekit.plans.tree import Node, omission
@@ -14,11 +15,14 @@ from profilekit.plans.tree import Node, omission
 
 @dataclass
 class Spec:
+    """``ranked``: SQL of the values whose quantiles are found by exact ranks instead of ``sql``."""
+
     metric: Metric
     node: Node | None
     sql: str
     group: str = "standard"
     alias: str = ""
+    ranked: str = ""
     detail: dict[str, Any] = field(default_factory=dict)
 
 
@@ -106,7 +110,8 @@ def plan_measures(
                 elif m.name == "json_invalid_count" and not can_parse_json:
                     static.append(Static(node, m.name, "unsupported", "try_parse_json is not available in this runtime"))
                 else:
-                    out.append(Spec(m, node, _fill(m.sql, site | values), "member" if deep else "standard"))
+                    exact = m.of and config["metrics"]["quantile_accuracy"] > SUMMARISED
+                    out.append(Spec(replace(m, accuracy="exact", method=m.method.replace("percentile_approx", "values at exact ranks")) if exact else m, node, _fill(m.sql, site | values), "member" if deep else "standard", ranked=_fill(m.of, site) if exact else ""))
             if node.kind == "timestamp_ntz" and (only is None or "after_reference_count" in only):
                 static.append(Static(node, "after_reference_count", "not_computed", "timestamps without a time zone have no unambiguous reference instant"))
         return out

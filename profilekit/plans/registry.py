@@ -4,6 +4,7 @@
 ``{quantiles}``, ``{accuracy}``, ``{rsd}`` and ``{reference}`` come from the run. Metrics of members of collections
 see ``{a}``, an array of the members of one row, instead; nothing is exploded for them.
 ``basis`` names the population that a count is a share of; a ``zero`` metric is 0 where there is nothing to add up.
+``of`` is what quantiles are of; above ``quantiles.SUMMARISED`` they are found by exact ranks instead.
 Lower tiers are kept first when there are too many expressions; deep tiers (5 and up) never displace others.
 """
 
@@ -34,6 +35,7 @@ class Metric:
     cost: int = 1
     accuracy: str = "exact"
     zero: bool = False
+    of: str = ""
 
     def fits(self, kind: str) -> bool:
         return self.kinds == ANY or kind in self.kinds
@@ -65,13 +67,13 @@ COLUMN_METRICS = (
     Metric("negative_count", NUMERIC, 2, _where("{v} < 0"), "values", "finite", "values below zero"),
     Metric("positive_count", NUMERIC, 2, _where("{v} > 0"), "values", "finite", "values above zero"),
     Metric("stddev", NUMERIC, 4, "stddev_samp({v})", None, None, "sample standard deviation in double precision", "float"),
-    Metric("quantiles", NUMERIC, 4, "percentile_approx({v}, {quantiles}, {accuracy})", None, None, "percentile_approx of non-null (finite) values", "quantiles", accuracy="approximate"),
+    Metric("quantiles", NUMERIC, 4, "percentile_approx({v}, {quantiles}, {accuracy})", None, None, "percentile_approx of non-null (finite) values", "quantiles", accuracy="approximate", of="{v}"),
     Metric("empty_count", STRINGS, 2, _where("{c} = ''"), "values", "non_null", "empty strings"),
     Metric("min_length", SIZED, 2, "min(length({c}))", "characters", None, "least length of non-null values"),
     Metric("max_length", SIZED, 2, "max(length({c}))", "characters", None, "greatest length of non-null values"),
     Metric("mean_length", STRINGS, 2, "avg(length({c}))", "characters", None, "average length of non-null values", "float"),
     Metric("whitespace_only_count", STRINGS, 4, _where(r"{c} <> '' AND {c} RLIKE '^\\s+$'"), "values", "non_null", "strings of white space alone"),
-    Metric("length_quantiles", STRINGS, 4, "percentile_approx(length({c}), {quantiles}, {accuracy})", "characters", None, "percentile_approx of lengths", "quantiles", accuracy="approximate"),
+    Metric("length_quantiles", STRINGS, 4, "percentile_approx(length({c}), {quantiles}, {accuracy})", "characters", None, "percentile_approx of lengths", "quantiles", accuracy="approximate", of="length({c})"),
     Metric("true_count", ("boolean",), 2, _where("{c}"), "values", "non_null", "true values"),
     Metric("false_count", ("boolean",), 2, _where("NOT {c}"), "values", "non_null", "false values"),
     Metric("after_reference_count", ("date", "timestamp"), 3, _where("{c} > {reference}"), "values", "non_null", "values after the run's reference instant (dates: its UTC date)"),
