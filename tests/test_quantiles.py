@@ -47,3 +47,8 @@ def test_precise_quantiles_are_exact_above_doubles_and_merged_in_no_task(spark):
 @pytest.mark.parametrize("name", ["judge_findings", "judge_rules"])
 def test_judgements_merge_no_summaries(spark, name):
     assert "percentile" not in plan(queries.queries()[name](spark, SF))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_exact_quantiles_have_no_task_with_all_values(spark):
+    assert "percentile" not in plan(queries.std_quantiles_exact(spark, SF))
