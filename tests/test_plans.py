@@ -52,3 +52,18 @@ def test_inclusion_joins_on_the_partitioning_of_its_groups(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # one exchange a side by key (the target is read for its own counts too), none for the join, one a one-row result
     assert len(re.findall(r"Exchange hashpartitioning", text)) <= 3
+
+
+def test_rows_of_a_shared_key_pass_stay_narrow(spark):
+    """Keys share slots by type: the rows to group have no column for each part of each key, and the same counts as keys alone."""
+    d = spark.sql("""SELECT id, id % 7 AS few, CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS holes, CAST(id % 3 AS int) AS small, CASE WHEN id % 4 = 0 THEN NULL ELSE concat('x', id % 50) END AS text,
+     CASE id % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN -0.0D WHEN 2 THEN 0.0D END AS odd, CAST(NULL AS date) AS none, named_struct('in', CAST(id % 11 AS decimal(9,2))) AS s FROM range(200)""")
+    wanted = {"a": ["id"], "b": ["few"], "c": ["holes"], "d": ["holes", "few"], "e": ["small"], "f": ["text"], "g": ["few", "text", "small"], "h": ["odd"], "i": ["none"], "j": ["s.in", "few"], "k": ["few", "holes"]}
+    paths = {n: [queries.path(c) for c in cs] for n, cs in wanted.items()}
+    frame = keys.uniqueness(d, paths)
+    grouped = [m.split(", ") for m in re.findall(r"HashAggregate\(keys=\[(.*?)\], functions=\[(?:partial_)?count\(1\)", plan(frame))]
+    assert grouped and max(map(len, grouped)) == 8  # the key's number, two longs, an int, a string, a double, a date, a decimal
+    alone = [keys.uniqueness(d, {n: p}).first() for n, p in paths.items()]
+    assert sorted(frame.collect()) == sorted(alone)
+    empty = keys.uniqueness(d.where("id < 0"), paths).collect()
+    assert len(empty) == len(wanted) and {r["outcome"] for r in empty} == {"empty"}
